@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import save, table
 
 WINDOW, SHINGLE = 10, 3
-#: Windows of the benchmark that are broadcast at once: about 300 bytes each, so 30 MB at most. More go in further blocks.
-BLOCK = 100_000
+#: Windows of the benchmark that are broadcast at once: about 300 bytes each, so 15 MB at most. More go in further blocks.
+BLOCK = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,6 +25,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
+def _once(c: Column) -> Column:
+    """A generated column: Catalyst would otherwise copy its expression into each lambda that uses it."""
+    return F.explode(F.array(c))
+
+
 def _shingles(w: Column, size: int) -> Column:
     """A hash for each word position: the `size` words that begin there (fewer at the end, which verification rejects)."""
     return F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)]))
@@ -32,7 +37,7 @@ def _shingles(w: Column, size: int) -> Column:
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
     """(window array, items array): distinct windows, each with the ids of its items."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = items.select("item_id", _once(words(F.col("text"))).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     cut = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, window))).alias("window"))
     return cut.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
@@ -67,27 +72,36 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     docs one row with start -1. key: a hash of the text, so that rows of one id and other texts stay apart."""
     windows = save(_windows(benchmark, window))
     sizes = sorted(r[0] for r in windows.select(F.least(F.size("window"), F.lit(shingle))).distinct().collect())
-    words_of = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words(F.col("text")).alias("w"))
+    words_of = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), _once(words(F.col("text"))).alias("w"))
     always = docs.sparkSession.createDataFrame([([], [], 0, 0, 0, 0)], "window array<string>, items array<string>, size int, offset int, token long, len int")
     prefixes, blocks = always.limit(0), 1
     if sizes:
         prefixes = _prefixes(words_of, windows, shingle, sizes)
         blocks = max(1, math.ceil(prefixes.count() / BLOCK))
-    listed = [F.array(F.lit(0).cast("long"))] + [_shingles(F.col("w"), size) for size in sizes]
-    tokens = words_of.select("doc_id", "key", "w", F.size("w").alias("n_words"), F.concat(*listed).alias("tokens"))
-    exploded = tokens.select("doc_id", "key", "w", "n_words", F.posexplode("tokens").alias("at", "token"))
-    #: Token 0 of the array finds the row `always`; then the positions of one shingle size follow those of another.
-    size_at = F.element_at(F.array(*[F.lit(s) for s in sizes] or [F.lit(0)]), ((F.col("at") - 1) / F.greatest("n_words", F.lit(1))).cast("int") + 1)
-    start = F.pmod(F.col("at") - 1, F.greatest("n_words", F.lit(1))) - F.col("offset")
+    listed = F.concat(*[_shingles(F.col("w"), size) for size in sizes]) if sizes else F.array().cast("array<bigint>")
+    tokens = words_of.select("doc_id", "key", "w", F.size("w").alias("n_words"), _once(listed).alias("tokens"))
+    places = F.col("n_words") * len(sizes)
+    #: Positions of one shingle size follow those of another; place -1 meets the row `always`.
+    size_at = F.element_at(F.array(*[F.lit(s) for s in sizes] or [F.lit(0)]), (F.col("at") / F.greatest("n_words", F.lit(1))).cast("int") + 1)
+    start = F.pmod(F.col("at"), F.greatest("n_words", F.lit(1))) - F.col("offset")
     out = None
     for block in range(blocks):
         part = prefixes if blocks == 1 else prefixes.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
+        wanted = [r[0] for r in part.select("token").distinct().collect()]
         part = part.union(always.select(*prefixes.columns)) if block == 0 else part
-        met = exploded.join(F.broadcast(part), "token")
+        # The tokens of a block are a literal set: only places that hold one leave the row, so that long word arrays are
+        # not copied for each of their words.
+        found = F.filter(F.sequence(F.lit(0), places - 1), lambda i: F.get("tokens", i).isin(wanted)) if wanted else F.array().cast("array<int>")
+        found = F.when(places > 0, found).otherwise(F.array().cast("array<int>"))
+        found = F.concat(F.array(F.lit(-1)), found) if block == 0 else found
+        listed = tokens.select("doc_id", "key", "w", "n_words", "tokens", found.alias("found"))
+        placed = listed.select("doc_id", "key", "w", "n_words", "tokens", F.explode("found").alias("at"))
+        placed = placed.select("doc_id", "key", "w", "n_words", "at", F.when(F.col("at") < 0, F.lit(0)).otherwise(F.get("tokens", F.col("at"))).alias("token"))
+        met = placed.join(F.broadcast(part), "token")
         within = (start >= 0) & (start + F.col("len") <= F.col("n_words"))  # positional and length bounds
         exact = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("window")
-        kept = met.where(F.when(F.col("at") == 0, F.col("len") == 0).otherwise(F.when((F.col("len") > 0) & (F.col("size") == size_at) & within, exact).otherwise(False)))
-        kept = kept.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), F.when(F.col("at") == 0, -1).otherwise(start).alias("start"), "len", "items")
+        kept = met.where(F.when(F.col("at") < 0, F.col("len") == 0).otherwise(F.when((F.col("len") > 0) & (F.col("size") == size_at) & within, exact).otherwise(False)))
+        kept = kept.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), F.when(F.col("at") < 0, -1).otherwise(start).alias("start"), "len", "items")
         out = kept if out is None else out.union(kept)
     return out
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP1_SQL, op1_decontamination
 from .simhash import op3_simhash
 
-QUERIES = {"op3_simhash": op3_simhash}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_simhash": op3_simhash}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL}
