@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontamination
 from .linededup import op7_line_dedup
+from .quality import op2_quality
 from .simhash import op3_simhash
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_simhash": op3_simhash, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op7_line_dedup": op7_line_dedup}
 
 ORACLE_SQL = {"op1_decontamination": OP1_SQL}
