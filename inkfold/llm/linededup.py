@@ -192,6 +192,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return met.select(*[F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in base.columns if c != "_of"], F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"))
 
 
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The rows of docs with their own columns alone, the text deduplicated; n_chars, where there is one, follows it."""
+    out = dedup_lines(docs)
+    changed = F.col("n_dropped") > 0
+    return out.select(*[F.when(changed, F.char_length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")])
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

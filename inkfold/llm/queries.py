@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontamination
 from .linededup import op7_line_dedup
+from .pieces import op9_sentencepiece
 from .quality import op2_quality
 from .simhash import op3_simhash
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op7_line_dedup": op7_line_dedup, "op9_sentencepiece": op9_sentencepiece}
 
 ORACLE_SQL = {"op1_decontamination": OP1_SQL}

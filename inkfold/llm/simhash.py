@@ -34,12 +34,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         raw, at = text_buffer(batch.column("text"))
         data = raw.tobytes()
         out = np.fromiter((fingerprint(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out.view(np.int64))], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of each row of docs (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    """(doc_id, key, fp long) of each row of docs (doc_id, text); key: a hash of the text."""
+    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), "text")
+    return rows.mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp long")
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: the least doc_id that links of up to 2 differing bits reach.
+    """(doc_id, key, fp, component_id) of each row: the least doc_id that links of up to 2 differing bits reach.
 
     Rows of one fingerprint are one node, so copies are never paired. A null or empty text has fingerprint 0 and links
     like any other; a null doc_id is never a component_id unless no row of the component has an id; repeated rows stay;
@@ -74,7 +79,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = save(joined)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = save(named.join(ids, "component").select(F.col("fp").alias("of"), "component_id"))
-    return rows.join(final, rows.fp == final.of).select("doc_id", "fp", "component_id")
+    return rows.join(final, rows.fp == final.of).select("doc_id", "key", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the least of their group. Repeated rows of that id and
+    text stay; rows without an id stay if their whole group has none."""
+    found = near_duplicates(docs)
+    gone = save(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
+    return docs.join(gone, F.col("_id").eqNullSafe(docs.doc_id) & (F.col("_key") == _key(docs.text)), "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
