@@ -84,3 +84,17 @@ def with_columns(batch: pa.RecordBatch, **new: pa.Array) -> pa.RecordBatch:
 def extended(df: DataFrame, **new: str) -> str:
     """The DDL schema of with_columns() over the rows of df."""
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new] + [f"`{n}` {t}" for n, t in new.items()])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, longest: int) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts and 0/1 labels of at most `most` labelled documents whose crc32 bucket of 5 is not 0: those with the least
+    hash of id and text, among texts of up to `longest` bytes, so that the sample is bounded and depends on the rows
+    alone. Null labels and null ids teach nothing; of several labels of an id the least counts."""
+    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min(label).alias("_mark"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_whole")).withColumn("_key", F.xxhash64("_whole"))
+    short = keyed.where(F.octet_length("_whole") <= longest).select("doc_id", "_key")
+    chosen = short.join(marks, "doc_id").select("doc_id", "_key", "_mark", F.xxhash64("doc_id", "_key").alias("_order")).orderBy("_order").limit(most)
+    found = keyed.join(F.broadcast(chosen), ["doc_id", "_key"]).select("_whole", "_mark", "_order").toArrow()
+    order = np.argsort(found["_order"].to_numpy(), kind="stable")
+    texts = found["_whole"].to_pylist()
+    return [texts[i] for i in order], (found["_mark"].to_numpy()[order] > 0).astype(np.float32)

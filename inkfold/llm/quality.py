@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, extended, slices, table, text_buffer, with_columns
+from .common import crc_bucket, extended, labelled, slices, table, text_buffer, with_columns
 
 #: Bytes of a passage; the last of a text may be shorter.
 PASSAGE = 512
@@ -136,16 +136,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED) -> dict[str, np.ndarray]:
-    """Train on at most `most` labelled documents whose crc32 bucket of 5 is not 0. The sample is the least hashed keys, so
-    it depends on the rows alone. Null labels and null ids teach nothing; of several labels of an id the least counts."""
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min(label).alias("_mark"))
-    chosen = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key")).join(marks, "doc_id").select("doc_id", "_key", "_mark", F.xxhash64("doc_id", "_key").alias("_order")).orderBy("_order").limit(most)
-    whole = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), whole.alias("whole")).join(F.broadcast(chosen), ["doc_id", "_key"])
-    found = rows.select("whole", "_mark", "_order").toArrow()
-    order = np.argsort(found["_order"].to_numpy(), kind="stable")
-    data, marks = found["whole"].to_pylist(), found["_mark"].to_numpy()
-    return train([data[i] for i in order], (marks[order] > 0).astype(np.float32))
+    """Train on a bounded sample of labelled documents; see common.labelled."""
+    return train(*labelled(docs, labels, label, most, TRAIN_BYTES))
 
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
