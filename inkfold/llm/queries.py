@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .html import op5_html
 from .linededup import op7_line_dedup
 from .pii import op10_pii
 from .pieces import op9_sentencepiece
@@ -10,6 +11,6 @@ from .quality import op2_quality
 from .simhash import op3_simhash
 from .toxicity import op8_toxicity
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_pii": op10_pii}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op5_html": op5_html, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_pii": op10_pii}
 
 ORACLE_SQL = {"op1_decontamination": OP1_SQL}
