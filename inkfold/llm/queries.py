@@ -6,12 +6,13 @@ from .decontaminate import OP1_SQL, op1_decontamination
 from .embeddings import op6_embeddings
 from .html import op5_html
 from .linededup import op7_line_dedup
+from .lm import op4_lm
 from .pii import op10_pii
 from .pieces import op9_sentencepiece
 from .quality import op2_quality
 from .simhash import op3_simhash
 from .toxicity import op8_toxicity
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_pii": op10_pii}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_lm": op4_lm, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_pii": op10_pii}
 
 ORACLE_SQL = {"op1_decontamination": OP1_SQL}
