@@ -20,6 +20,10 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 8, 4
 #: Bins of the one-permutation signature; its minima are dealt to the bands.
 BINS = BANDS * ROWS
+#: Lines of a block, about, where all lines of several components are compared.
+BLOCK = 48
+#: Buckets (16 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Words of the fixed-size Bloom filter (2 MB) that keeps lines without any candidate out of the second shuffle.
 BLOOM_WORDS = 1 << 18
 _ODD, _UP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -131,6 +135,35 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
+def _verified_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _verified, for all pairs of lines of other parts in two blocks. A product of 0/1 matrices over hashed shingles, plus
+    the shingles that fell together, bounds what two lines share from above; pairs within reach are compared exactly."""
+    known: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            if len(known) > 20_000:
+                known.clear()
+            sets = [known[x["key"]] if x["key"] in known else known.setdefault(x["key"], shingles(x["line"])) for x in left + right]
+            sizes = np.array([len(s) for s in sets])
+            width = 1 << min(16, max(9, int(8 * sizes.max()).bit_length()))
+            held = np.zeros((len(sets), width), np.float32)
+            held[np.repeat(np.arange(len(sets)), sizes), (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)] = 1
+            n, lost = len(left), sizes - held.sum(1)
+            bound = held[:n] @ held[n:].T + np.minimum(lost[:n, None], lost[None, n:])
+            part, key = np.array([x["part"] for x in left + right]), np.array([x["key"] for x in left + right])
+            i, j = np.nonzero((bound >= SIMILARITY * (sizes[:n, None] + sizes[None, n:] - bound)) & (part[:n, None] != part[None, n:]))
+            done, fine = set(), []
+            for a, b in sorted(zip(i.tolist(), j.tolist(), strict=True), key=lambda p: -bound[p]):
+                # One link between a line and another component is enough to join them.
+                if (a, part[n + b]) not in done:
+                    both = len(np.intersect1d(sets[a], sets[n + b], assume_unique=True))
+                    if both >= SIMILARITY * (sizes[a] + sizes[n + b] - both):
+                        done.add((a, part[n + b]))
+                        fine.append((a, b))
+            i, j = np.array(fine, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(key[:n][i]), pa.array(key[n:][j])], names=["a", "b"])
+
+
 def _key(c: Column) -> Column:
     return F.xxhash64(F.coalesce(c, F.lit("")))
 
@@ -139,31 +172,40 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, parts): every line of MIN_WORDS words or more as (doc_id, doc_key, line_no, key), and the component of each
     distinct line that has a near-duplicate, as (node, component).
 
-    Distinct lines of a band's bucket are compared with the bucket's least line first; only lines that fail are compared
-    with the whole bucket. So a large group of near copies costs a pair for each line, and no link that joins two
-    components is lost."""
+    Two rounds of exact comparison: the lines of a bucket with its least line; then, where a bucket of three or more still
+    holds several components, all lines of those components, block against block. So a large group of near copies costs a
+    few pairs for each line, no group is gathered whole, and no link of the banding that joins two components is lost."""
     keyed = docs.select("doc_id", _key(F.col("text")).alias("doc_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = save(keyed.mapInArrow(_line_keys, f"doc_id {kind}, doc_key long, line_no int, key long, bands array<bigint>"))
-    one = lines.groupBy("key").agg(F.first("bands").alias("bands"))
-    dealt = one.select("key", F.explode("bands").alias("band"))
-    buckets = dealt.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("band", "least")
-    members = save(dealt.join(save(buckets), "band"))
-    wanted = save(members.select("key").distinct())
+    dealt = lines.select("key", F.explode("bands").alias("band"))
+    buckets = save(dealt.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("most")).where("a <> most").select("band", "a"))
+    met = save(dealt.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_ROWS else buckets, "band").distinct())
+    first = save(met.select("a", F.col("key").alias("b")).distinct())
+    wanted = save(first.select(F.col("b").alias("key")).distinct())
     found = docs.select("text").mapInArrow(_line_texts(_bloom(wanted)), "key long, line binary")
     texts = save(found.join(wanted, "key").groupBy("key").agg(F.first("line").alias("line")))
-    one_side = lambda pairs: pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b").select("a", "b", "la", "lb").mapInArrow(_verified, "a long, b long")
-    first = save(members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct())
-    linked = save(one_side(first))
-    # A line that its bucket's least line does not match meets all lines of the bucket that have another component.
-    failed = members.where("key <> least").join(linked.select(F.col("a").alias("least"), F.col("b").alias("key")), ["least", "key"], "left_anti").select("band", "key")
-    parts = connected_components(linked)
-    of = members.select("band", "key").join(parts.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part"))
-    of_failed = failed.join(parts.withColumnRenamed("node", "key"), "key", "left").select("band", F.col("key").alias("b"), F.coalesce("component", "key").alias("pb"))
-    rest = of_failed.join(of.select("band", F.col("key").alias("a"), F.col("part").alias("pa")), "band").where("pa <> pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = save(one_side(rest))
-    return lines.select("doc_id", "doc_key", "line_no", "key"), connected_components(linked.union(more))
+
+    one = first.where("a <> b").join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a")
+    linked = save(one.join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b").select("a", "b", "la", "lb").mapInArrow(_verified, "a long, b long"))
+    parts = save(connected_components(linked).select(F.col("node").alias("key"), "component"))
+    several = save(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 2").select("band"))
+    placed = save(met.join(several, "band").join(parts, "key", "left").select("band", "key", F.coalesce("component", "key").alias("part")))
+    mixed = placed.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("band", "least")
+    apart = placed.join(save(mixed), "band").where("part <> least").select("part", "least").distinct()
+    family = save(connected_components(apart).select(F.col("node").alias("part"), F.col("component").alias("family")))
+    kin = save(placed.select("key", "part").distinct().join(family, "part"))
+    main = kin.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
+    kin = save(kin.join(save(main.select("family", F.col("top.part").alias("main"), F.col("top.n").alias("most"), "all")), "family").join(texts, "key"))
+
+    def blocks(rows: DataFrame, size: Column, name: str) -> DataFrame:
+        cell = F.pmod(F.xxhash64("key"), F.ceil(size / BLOCK))
+        return rows.groupBy("family", cell.alias("cell")).agg(F.collect_list(F.struct("part", "key", "line")).alias(name)).drop("cell")
+
+    left, right = save(blocks(kin.where("part <> main"), F.col("all") - F.col("most"), "left")), save(blocks(kin, F.col("all"), "right"))
+    third = save(left.join(right, "family").select("left", "right").mapInArrow(_verified_blocks, "a long, b long"))
+    linked = linked.union(third)
+    return lines.select("doc_id", "doc_key", "line_no", "key"), connected_components(linked)
 
 
 def _drops(docs: DataFrame) -> DataFrame:
