@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import extended, slices, table, text_buffer, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text that are indexed together.
-BATCH = 5_000_000
+#: Bytes of text that are indexed together: the arrays of a batch take about 80 bytes for each.
+BATCH = 1_000_000
 _UNITS = re.compile(rb"\n| ?[^ \n]+| ")
 _SPACE = "▁"
 _CACHE = 1 << 20
