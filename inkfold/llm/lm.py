@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, save, slices, table, text_buffer
 
 #: Bytes of text of a chunk, and about how many distinct n-grams of all chunks one bucket sums.
-CHUNK, BUCKET = 10_000_000, 400_000
+CHUNK, BUCKET = 6_000_000, 400_000
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ... occurrences.
 CONTEXTS = 40
 ROUNDS, BINS_A_UNIT = 60, 16
@@ -97,10 +97,16 @@ class Chunk:
         return out[0].astype(np.uint32), out[1].astype(np.uint32)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one, so that one chunk at a time is unpacked."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _asked(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk, out = Chunk(row), []
                 for order, keys in ((1, chunk.one), (2, chunk.two)):
                     every, tuning = chunk.counts(order)
@@ -158,7 +164,7 @@ def _ratios(share: float | None, n: int, v: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk, got = _answered(row)
                 one, two = (got[k][0] - got[k][1] for k in (1, 2))
                 if share is None:
@@ -189,7 +195,7 @@ def _scores(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            for k, row in enumerate(batch.to_pylist()):
+            for k, row in enumerate(_rows(batch)):
                 chunk, got = _answered(row)
                 one, two = got[1][0], got[2][0]
                 c = one[chunk.word]
