@@ -58,3 +58,29 @@ def test_lattice_points_are_the_nearest():
     x = np.random.default_rng(1).normal(0, 2, (500, 8))
     p = e.decode(x)
     assert (((x - p) ** 2).sum(1) <= ((x[:, None] - (p[:, None] + e.MINIMAL)) ** 2).sum(2).min(1) + 1e-9).all()
+
+
+def at_threshold(n, size, cosine):
+    rng = np.random.default_rng(11)
+    x, z = rng.normal(size=(2, n, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+def test_recall_at_the_threshold_with_one_block_and_with_two():
+    for blocks in (1, 2):
+        for size in (32, 64):
+            a, b = (e.cells(v, blocks) for v in at_threshold(1500, size, 0.98))
+            met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any((1, 2))
+            assert met.mean() > 0.99
+
+
+def test_links_of_a_label_that_needs_two_blocks(spark, monkeypatch):
+    monkeypatch.setattr(e, "ROWS_A_BLOCK", 100)
+    x, y = at_threshold(400, 64, 0.9801)
+    rows = [(2 * k + i, v[k].tolist(), 0) for k in range(400) for i, v in enumerate((x, y))]
+    found = e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r["n_links"] for r in found) > 0.99 * 800
+    assert all(r["component_id"] in (r["vec_id"], r["vec_id"] - r["vec_id"] % 2) for r in found)
