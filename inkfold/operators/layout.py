@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +54,23 @@ def reading_order(blocks: Column, way: Column) -> Column:
     return F.transform(F.array_sort(F.transform(blocks, keyed), lambda p, q: F.when(F.struct(p["a"], p["b"], p["i"]) < F.struct(q["a"], q["b"], q["i"]), -1).otherwise(1)), lambda x: x["block"])
 
 
+def reading_ranks(rows: DataFrame, group: str, tall: bool, ties: str, hold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows (group, ties, box) with `rank`, from 1: the place of each box in the reading order of its group, which may be of
+    any size. Rows are dealt by ranges of group and place, numbered inside each range, and the counts of the ranges before
+    are added; no group is gathered. hold stores the dealt rows, as their ranges must not be drawn twice."""
+    x, y = _coordinate(F.col("box"), 0), _coordinate(F.col("box"), 1)
+    order = [-x, y] if tall else [y, x]
+    keyed = rows.withColumns({"_a": order[0], "_b": order[1]})
+    place = [group, "_a", "_b", ties]
+    dealt = hold(keyed.repartitionByRange(*place).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", group).orderBy("_a", "_b", ties)
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = dealt.groupBy("_range", group).agg(F.count("*").alias("_n")).select(F.col("_range").alias("_r"), F.col(group).alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    numbered = dealt.withColumn("_i", F.row_number().over(inside))
+    met = numbered.join(F.broadcast(ahead), (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
+    return met.select(*rows.columns, (F.col("_i") + F.col("_ahead")).cast("long").alias("rank"))
+
+
 def block_text(blocks: Column) -> Column:
     return F.trim(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"))
 

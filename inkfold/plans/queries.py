@@ -38,6 +38,19 @@ def _like(fields: str, needles: list[str]) -> str:
     return "(" + " OR ".join(terms) + ")"
 
 
+def _shared(spark: SparkSession, kind: str) -> str:
+    """A new folder where all executors see it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{shared}/inkfold-{kind}-{spark.sql('select uuid()').first()[0]}"
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """df, written and read again."""
+    path = _shared(df.sparkSession, "held")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Scans, filters, lookups
 
 
@@ -380,6 +393,13 @@ def reading_order(spark, t):
     return per.select("label", show("vertical").alias("tall"), show("horizontal").alias("wide"))
 
 
+@query(f"SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY -b[1], b[2], vec_id) AS tall, row_number() OVER (PARTITION BY label ORDER BY b[2], b[1], vec_id) AS wide FROM (SELECT e.vec_id, label, b FROM embeddings e JOIN ({_BOX}) USING (vec_id))")
+def reading_order_whole(spark, t):
+    boxes = _boxes(t).select("vec_id", "label", F.col("b").alias("box"))
+    tall = layout.reading_ranks(boxes, "label", True, "vec_id", _held).withColumnRenamed("rank", "tall")
+    return layout.reading_ranks(tall, "label", False, "vec_id", _held).select("label", "vec_id", "tall", F.col("rank").alias("wide"))
+
+
 @query("SELECT vec_id, CAST(list_sort(embedding)[CAST(floor(len(embedding) * 0.8) AS INTEGER) + 1] AS DOUBLE) AS threshold FROM embeddings")
 def font_threshold(spark, t):
     return t("embeddings").select("vec_id", layout.nearest_rank(F.col("embedding").cast("array<double>")).alias("threshold"))
@@ -423,8 +443,7 @@ def ocr_blocks(spark, t):
 
 def _streamed(spark: SparkSession, df: DataFrame, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """df through files and a stream of all that is there, into a table of files, read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    root = f"{shared}/inkfold-stream-{spark.sql('select uuid()').first()[0]}"
+    root = _shared(spark, "stream")
     df.write.parquet(f"{root}/in")
     out = then(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in"))
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
