@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import nfkc
+from ..functions.text import nfkc, trimmed
 
 # Signal patterns, word lists and weights; a card has a score of LEAST or more.
 SIGNALS = {
@@ -34,7 +34,8 @@ def signals(text: Column, only: tuple[str, ...] = tuple(SIGNALS)) -> dict[str, C
 def classified(text: Column, normalise: bool = True, only: tuple[str, ...] = tuple(SIGNALS)) -> dict[str, Column]:
     """score, is_card and reason (the signals, or that there is too little text) of a recognised text."""
     t = nfkc(text) if normalise else F.coalesce(text, F.lit(""))
-    enough = (F.char_length(F.regexp_replace(t, r"(?U)\s+", "")) >= LEAST_CHARS) & (F.size(F.filter(F.split(t, "\\R"), lambda x: F.trim(x) != "")) >= LEAST_LINES)
+    bare = trimmed if normalise else F.trim
+    enough = (F.char_length(F.regexp_replace(t, r"(?U)\s+", "")) >= LEAST_CHARS) & (F.size(F.filter(F.split(t, "\\R"), lambda x: bare(x) != "")) >= LEAST_LINES)
     found = signals(t, only)
     score = sum((F.when(c, SIGNALS[n][0]).otherwise(0) for n, c in found.items()), F.lit(0))
     names = F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in found.items()])), ", ")

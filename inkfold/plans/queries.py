@@ -434,6 +434,12 @@ def normalised_fields(spark, t):
     return t("documents").select("doc_id", T.nfkc(text).alias("nfkc"), T.phone(text).alias("phone"), T.address(text).alias("address"), T.company(text).alias("company"), T.kana_field(text).alias("kana"), T.tags(text).alias("tags"))
 
 
+@query()
+def classify_whole(spark, t):
+    found = classify.classified(F.col("text"))
+    return t("documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
+
+
 @query()
 def ocr_blocks(spark, t):
     raw = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("text"), F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"), F.lit(3).alias("width"), F.lit(4).alias("height")).alias("box"))).alias("pages")))
