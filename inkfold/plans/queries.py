@@ -430,7 +430,7 @@ def truncate(spark, t):
 
 @query()
 def normalised_fields(spark, t):
-    text = F.substring_index("text", "\n", 1)
+    text = F.col("text")
     return t("documents").select("doc_id", T.nfkc(text).alias("nfkc"), T.phone(text).alias("phone"), T.address(text).alias("address"), T.company(text).alias("company"), T.kana_field(text).alias("kana"), T.tags(text).alias("tags"))
 
 
