@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own if driver and executors
+    are one process (tests); on a cluster there is no folder to guess."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -44,6 +48,19 @@ def drop_saved(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for internal columns that clash with no column of df."""
+    held = {c.lower() for c in df.columns}
+    names = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in held:
+            name += "_"
+        names.append(name)
+        held.add(name.lower())
+    return names
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
