@@ -234,19 +234,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked_parts(lines: list[bytes], parts: np.ndarray, left: np.ndarray) -> set[tuple[int, int]]:
     """Pairs of parts of which a line of `left` and another line are similar. What two lines share is counted exactly, by a
-    product of 0/1 matrices over the shingles that two lines hold at least, some columns at a time."""
+    product of 0/1 matrices over the shingles of the left lines, some columns at a time."""
+    if not left.any():
+        return set()
     if max(map(len, lines)) > PIECE:
         return {(int(parts[i]), int(parts[j])) for i in np.nonzero(left)[0] for j in range(len(lines)) if parts[i] != parts[j] and similar(lines[i], lines[j])}
     sets = [shingles(x) for x in lines]
     sizes = np.array([len(s) for s in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, some = np.repeat(np.arange(len(sets)), sizes), times[column] > 1
-    order = np.cumsum(times > 1) - 1
-    row, column = row[some], order[column[some]]
+    wanted = np.unique(np.concatenate([s for s, l in zip(sets, left, strict=True) if l]))
+    every = np.concatenate(sets)
+    column = np.minimum(np.searchsorted(wanted, every), len(wanted) - 1)
+    some = wanted[column] == every
+    row, column = np.repeat(np.arange(len(sets)), sizes)[some], column[some]
     both = np.zeros((int(left.sum()), len(sets)), np.float32)
-    for at in range(0, int((times > 1).sum()), 8192):
+    for at in range(0, len(wanted), 8192):
         mine = (column >= at) & (column < at + 8192)
-        held = np.zeros((len(sets), 8192), np.float32)
+        held = np.zeros((len(sets), min(8192, len(wanted) - at)), np.float32)
         held[row[mine], column[mine] - at] = 1
         both += held[left] @ held.T
     close = (both >= SIMILARITY * (sizes[left][:, None] + sizes - both)) & (parts[left][:, None] != parts)
@@ -321,10 +324,10 @@ def _drops(docs: DataFrame, least: int) -> DataFrame:
     lines, named = classes(docs, least)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc_key", "line_no")
     met = save(lines.join(named, "key").select("class", place.alias("place")))
-    keep = met.groupBy("class").agg(F.min("place").alias("keep"))
+    keep = save(met.groupBy("class").agg(F.min("place").alias("keep")))  # a plain exchange, so that Spark can split a hot class
     gone = met.join(keep, "class").where(~F.col("place").eqNullSafe(F.col("keep"))).select("place.doc_id", "place.doc_key", "place.line_no")
     out = save(gone.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("drops")))
-    for done in (lines, named, met):
+    for done in (lines, named, met, keep):
         drop_saved(done)
     return out
 
