@@ -4,29 +4,29 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, save, table
+from .common import drop_saved, extended, save, table
 from .components import connected_components
 
 COSINE = 0.98
-#: Tables, probed cells of each besides a vector's own, and the width that projections are divided by. Two unit vectors of
-#: cosine 0.98 are 0.2 apart, so their projections differ by about 0.57 / WIDTH; E8 cells have an inner radius of 0.71.
-TABLES, PROBES, WIDTH = 8, 6, 0.7
-#: Distinct vectors of a label for which one block of 8 projections parts vectors well; where a label holds more, two blocks
-#: must agree. That is rarer for near vectors too, so there are more tables and probes then, which keep the recall.
-ROWS_A_BLOCK = 200_000
-#: (tables, probes, tables hashed at once) of one block and of two. Cells at once bound what is on disk.
-SCHEMES = {1: (TABLES, PROBES, TABLES), 2: (24, 12, 4)}
+#: A cell is a pair of E8 points, of two blocks of 8 projections, at any number of rows: 6e-8 of random pairs share one. Two
+#: unit vectors of cosine 0.98 are 0.2 apart, so a block's projections differ by about 0.57 / WIDTH; E8 cells have an inner
+#: radius of 0.71. With PROBES neighbours beside its own cell, such a pair meets in a table with probability 0.64.
+BLOCKS, TABLES, PROBES, WIDTH = 2, 6, 11, 1.1
+#: Tables that are joined at once: 24 cells for each vector are on disk at a time.
+AT_ONCE = 2
 #: Neighbouring cells of a block that probes combine.
 NEAR = 12
+#: Bytes of vectors that are worked on at once.
+PIECE = 8_000_000
 SEED = 17
 
 
@@ -62,21 +62,19 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where(nearer[:, None], half, whole)
 
 
-def cells(units: np.ndarray, blocks: int, first: int = 0, last: int | None = None) -> np.ndarray:
+def cells(units: np.ndarray, first: int = 0, last: int = TABLES) -> np.ndarray:
     """(rows, tables, 1 + probes) hashed cells in the tables first to last: a vector's own, then the neighbours that its
     projection is nearest to."""
-    tables, probes, _ = SCHEMES[blocks]
     rng = np.random.default_rng(SEED)
-    mix = rng.integers(1 << 62, 1 << 63, (tables, blocks, 8)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    last = tables if last is None else last
-    out = np.zeros((len(units), last - first, 1 + probes), np.uint64)
+    mix = rng.integers(1 << 62, 1 << 63, (TABLES, BLOCKS, 8)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(units), last - first, 1 + PROBES), np.uint64)
     for t in range(last):
-        plane = rng.standard_normal((units.shape[1], 8 * blocks)) / WIDTH
+        plane = rng.standard_normal((units.shape[1], 8 * BLOCKS)) / WIDTH
         if t < first:
             continue
         at = units @ plane
         own, cost, shift = np.zeros((len(units), 1), np.uint64), np.zeros((len(units), 1)), np.zeros((len(units), 1), np.uint64)
-        for b in range(blocks):
+        for b in range(BLOCKS):
             here = at[:, 8 * b : 8 * b + 8]
             point = decode(here)
             own[:, 0] += ((2 * point).astype(np.int64).view(np.uint64) * mix[t, b]).sum(1)
@@ -86,7 +84,7 @@ def cells(units: np.ndarray, blocks: int, first: int = 0, last: int | None = Non
             step = ((2 * MINIMAL).astype(np.int64).view(np.uint64) * mix[t, b]).sum(1)[best]
             cost = (cost[:, :, None] + np.pad(np.take_along_axis(away, best, 1), ((0, 0), (1, 0)))[:, None]).reshape(len(units), -1)
             shift = (shift[:, :, None] + np.pad(step, ((0, 0), (1, 0)))[:, None]).reshape(len(units), -1)
-        best = 1 + np.argpartition(cost[:, 1:], probes, axis=1)[:, :probes]
+        best = 1 + np.argpartition(cost[:, 1:], PROBES, axis=1)[:, :PROBES]
         out[:, t - first, 0] = own[:, 0]
         out[:, t - first, 1:] = own + np.take_along_axis(shift, best, 1)
         out[:, t - first] ^= np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64))
@@ -94,48 +92,63 @@ def cells(units: np.ndarray, blocks: int, first: int = 0, last: int | None = Non
     return out
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, key, vector): key is a digest of label and components, null where a vector links with nothing."""
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors (in double precision, null components as NaN) of a list column, by length, in pieces of
+    bounded size; null and empty lists are left out."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    at = np.cumsum(sizes) - sizes
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), float("nan")).to_numpy() + 0.0
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.nonzero(sizes == size)[0]
+        step = max(1, PIECE // (8 * int(size)))
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            yield some, flat[at[some][:, None] + np.arange(size)]
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their greatest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batch with `key`: a 128-bit digest of the components, null where a vector or its label links with nothing."""
     for batch in batches:
-        keys, vectors = [], []
-        for label, x in zip(batch.column("label").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-            fine = label is not None and x and None not in x
-            v = np.array(x, np.float64) + 0.0 if fine else None
-            fine = bool(fine and np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0)
-            keys.append(hashlib.blake2b(repr(label).encode() + b"|" + v.tobytes(), digest_size=16).digest() if fine else None)
-            vectors.append(v if fine else None)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), batch.column("label"), pa.array(vectors, pa.list_(pa.float64()))], names=["vec_id", "key", "label", "vector"])
+        keys: list[bytes | None] = [None] * batch.num_rows
+        named = batch.column("label").is_valid().to_numpy(zero_copy_only=False)
+        for rows, x in _matrices(batch.column("embedding")):
+            fine = np.isfinite(x).all(1) & (x != 0).any(1) & named[rows]
+            for i in np.nonzero(fine)[0]:
+                keys[rows[i]] = hashlib.blake2b(x[i].tobytes(), digest_size=16).digest()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "key"])
+
 
+def _hashed(first: int, last: int):
+    """(node, label, size, cell, own) of each vector in the tables first to last."""
 
-def _hashed(blocks: int, first: int, last: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("vector").to_pylist()
-            node, label = batch.column("node").to_numpy(), batch.column("label").to_pylist()
-            for size in sorted({len(x) for x in rows}):
-                some = [i for i, x in enumerate(rows) if len(x) == size]
-                units = np.array([rows[i] for i in some])
-                units /= np.linalg.norm(units, axis=1, keepdims=True)
-                found = cells(units, blocks, first, last)
-                salt = np.array([zlib.crc32(repr((label[i], size)).encode()) for i in some], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                found ^= salt[:, None, None]
-                n = found[0].size
-                own = np.zeros(found.shape, bool)
-                own[:, :, 0] = True
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[some], n)), pa.array(found.view(np.int64).ravel()), pa.array(own.ravel())], names=["node", "cell", "own"])
+            for rows, x in _matrices(batch.column("embedding")):
+                for k in range(0, len(rows), 1000):
+                    some = pa.array(rows[k : k + 1000])
+                    found = cells(_units(x[k : k + 1000]), first, last)
+                    own = np.zeros(found.shape, bool)
+                    own[:, :, 0] = True
+                    repeated = np.repeat(np.arange(len(some)), found[0].size)
+                    each = lambda name: batch.column(name).take(some).take(pa.array(repeated))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([each("node"), each("label"), pa.array(np.full(len(repeated), x.shape[1], np.int32)), pa.array(found.view(np.int64).ravel()), pa.array(own.ravel())], names=["node", "label", "size", "cell", "own"])
 
     return run
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The candidates whose cosine, in double precision, is COSINE or more."""
+    """The candidates (of one length) whose cosine, in double precision, is COSINE or more."""
     for batch in batches:
-        x, y = batch.column("va").to_pylist(), batch.column("vb").to_pylist()
-        keep = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.array(p), np.array(q)
-            keep.append(len(p) == len(q) and float(p @ q / (np.linalg.norm(p) * np.linalg.norm(q))) >= COSINE)
-        mask = pa.array(keep, pa.bool_())
+        keep = np.zeros(batch.num_rows, bool)
+        for (rows, x), (_, y) in zip(_matrices(batch.column("va")), _matrices(batch.column("vb")), strict=True):
+            keep[rows] = (_units(x) * _units(y)).sum(1) >= COSINE
+        mask = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
@@ -147,34 +160,33 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     or non-finite components, and one without a label, links with nothing; a null vec_id takes part but names no
     component; repeated rows are vectors of their own; other columns are ignored; no rows give no rows.
 
-    Recall (tests hold it against brute force): pairs of cosine 0.98 share one of the tables' probed cells with a measured
-    probability of 0.995, of 0.985 with 0.9996, and more than 0.99 where a label is large enough for two blocks."""
-    kinds = rows.schema
-    held = save(rows.select("vec_id", "embedding", "label").mapInArrow(_usable, f"vec_id {kinds['vec_id'].dataType.simpleString()}, key binary, label {kinds['label'].dataType.simpleString()}, vector array<double>"))
-    groups = held.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    groups = save(groups.withColumn("node", F.xxhash64("key")))
-    most = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    blocks = 1 if most <= ROWS_A_BLOCK else 2
-    tables, _, step = SCHEMES[blocks]
+    Recall: a pair of cosine 0.98 shares one of the tables' probed cells with a measured probability of 0.998, at any number
+    of rows (tests hold it against all pairs)."""
+    given = rows.select("vec_id", "embedding", "label")
+    keyed = given.mapInArrow(_keyed, extended(given, key="binary"))
+    groups = keyed.where("key is not null").groupBy("label", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
+    groups = save(groups.withColumn("node", F.monotonically_increasing_id()))
+    kind = given.schema["label"].dataType.simpleString()
     found = []
-    for k in range(0, tables, step):
-        hashed = save(groups.select("node", "label", "vector").mapInArrow(_hashed(blocks, k, min(k + step, tables)), "node long, cell long, own boolean"))
-        own = hashed.where("own").select(F.col("node").alias("b"), "cell")
-        met = hashed.select(F.col("node").alias("a"), "cell").join(own, "cell").where("a <> b")
+    for k in range(0, TABLES, AT_ONCE):
+        hashed = save(groups.select("node", "label", "embedding").mapInArrow(_hashed(k, min(k + AT_ONCE, TABLES)), f"node long, label {kind}, size int, cell long, own boolean"))
+        own = hashed.where("own").select("label", "size", "cell", F.col("node").alias("b"))
+        met = hashed.select("label", "size", "cell", F.col("node").alias("a")).join(own, ["label", "size", "cell"]).where("a <> b")
         found.append(save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         drop_saved(hashed)
-    pairs = found[0] if len(found) == 1 else save(reduce(DataFrame.union, found).distinct())
-    vectors = groups.select("node", "vector")
-    full = pairs.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
+    pairs = reduce(DataFrame.union, found).distinct()
+    vectors = groups.select("node", "embedding")
+    full = pairs.join(vectors.select(F.col("node").alias("a"), F.col("embedding").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("embedding").alias("vb")), "b")
     links = save(full.mapInArrow(_close, "a long, b long"))
-    both = links.union(links.select("b", "a"))
-    near = both.join(groups.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    for some in found:
+        drop_saved(some)
+    near = links.union(links.select("b", "a")).join(groups.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
     parts = connected_components(links)
-    named = groups.join(parts, "node", "left").join(near.withColumnRenamed("a", "node"), "node", "left").select("key", "copies", "least", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "node").alias("component"))
-    named = save(named)
+    named = groups.join(parts, "node", "left").join(near, "node", "left")
+    named = save(named.select("label", "key", "copies", "least", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "node").alias("component")))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = save(named.join(ids, "component").select(F.col("key").alias("of"), (F.col("others") + F.col("copies") - 1).alias("n_links"), "component_id"))
-    out = held.join(final, held.key == final.of, "left")
+    final = named.join(ids, "component").select(F.col("label").alias("l"), F.col("key").alias("k"), (F.col("others") + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = keyed.select("vec_id", "label", "key").join(final, (F.col("key") == F.col("k")) & (F.col("label") == F.col("l")), "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

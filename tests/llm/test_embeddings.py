@@ -69,18 +69,42 @@ def at_threshold(n, size, cosine):
     return x, cosine * x + np.sqrt(1 - cosine**2) * z
 
 
-def test_recall_at_the_threshold_with_one_block_and_with_two():
-    for blocks in (1, 2):
-        for size in (32, 64):
-            a, b = (e.cells(v, blocks) for v in at_threshold(1500, size, 0.98))
-            met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any((1, 2))
-            assert met.mean() > 0.99
-
-
-def test_links_of_a_label_that_needs_two_blocks(spark, monkeypatch):
-    monkeypatch.setattr(e, "ROWS_A_BLOCK", 100)
+def test_recall_at_the_threshold():
+    for size in (16, 32, 64, 256):
+        a, b = (e.cells(v) for v in at_threshold(1500, size, 0.98))
+        met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any((1, 2))
+        assert met.mean() > 0.99
+
+
+def test_random_pairs_seldom_share_a_cell():
+    x = e._units(np.random.default_rng(2).normal(size=(6000, 64)))
+    found = e.cells(x)
+    met = 0
+    for t in range(e.TABLES):
+        own, n = np.unique(found[:, t, 0], return_counts=True)
+        probes = found[:, t, 1:].ravel()
+        at = np.minimum(np.searchsorted(own, probes), len(own) - 1)
+        met += n[at][own[at] == probes].sum()
+    assert met / 6000**2 / e.TABLES < 1e-6  # so candidates stay a few for each row up to millions of rows in a label
+
+
+def test_links_at_the_threshold(spark):
     x, y = at_threshold(400, 64, 0.9801)
     rows = [(2 * k + i, v[k].tolist(), 0) for k in range(400) for i, v in enumerate((x, y))]
     found = e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sum(r["n_links"] for r in found) > 0.99 * 800
     assert all(r["component_id"] in (r["vec_id"], r["vec_id"] - r["vec_id"] % 2) for r in found)
+
+
+def test_unequal_labels_never_link(spark):
+    # These labels have one crc32.
+    rows = [(1, [1.0, 2.0], 549403235232767), (2, [1.0, 2.0], 492379585184846), (3, [1.0, 2.01], 492379585184846)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert found == {1: (0, 1), 2: (1, 2), 3: (1, 2)}
+
+
+def test_huge_and_tiny_components_and_clashing_columns(spark):
+    kind = "vec_id long, embedding array<double>, label string, node long, size int, cell string, key string, own int, copies int"
+    rows = [(1, [1e200, 2e200], "x"), (2, [1e-300, 2e-300], "x"), (3, [1e-320, 0.0], "x"), (4, [float("inf"), 1.0], "x"), (5, [1.0] * 20_000, "x"), (6, [1.0] * 20_000, "x")]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.near_duplicates(spark.createDataFrame([(*r, 1, 1, "c", "k", 1, 1) for r in rows], kind)).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
