@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,31 +11,55 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table, text_buffer
+from .common import fresh, save, slices, table, text_buffer
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
+#: Bytes of a text whose words are held at once.
+PIECE = 1_000_000
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_pieces(text: bytes, overlap: int, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text (bytes: A-Z lower-cased, white space of ASCII only), cut at white space into pieces of bounded size;
+    each piece begins with the last `overlap` words of those before."""
+    begin, held = 0, []
+    while begin < len(text):
+        end = len(text)
+        if end - begin > size:
+            gap = _GAP.search(text, begin + size)
+            end = gap.start() if gap else end
+        new = text[begin:end].lower().split()
+        if new:
+            yield held + new
+            held = (held + new)[-overlap:] if overlap else []
+        begin = end
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits: each is 1 if set in over half of the XXH64 hashes of the shingles, repeats included. No words: 0."""
-    words = text.lower().split()  # bytes: A-Z only, white space of ASCII only
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
-    bits = np.zeros(64, np.int64)
-    for at in range(0, n, 100_000):
-        bits += np.unpackbits(hashes[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    """64 bits: each is 1 if set in over half of the XXH64 hashes of the shingles, repeats included. Fewer words than a
+    shingle are one; no words: 0."""
+    bits, n, few = np.zeros(64, np.int64), 0, []
+    for k, words in enumerate(word_pieces(text, shingle - 1)):
+        few = words if k == 0 or len(words) < shingle else few
+        m = len(words) - shingle + 1
+        if m < 1:
+            continue
+        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(m)), np.uint64, m)
+        n += m
+        for at in range(0, m, 100_000):
+            bits += np.unpackbits(hashes[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(few), SEED) if few else 0
     return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, at = text_buffer(batch.column("text"))
-        data = raw.tobytes()
-        out = np.fromiter((fingerprint(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out.view(np.int64))], names=["doc_id", "key", "fp"])
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            raw, at = text_buffer(batch.column("text"))
+            out = np.fromiter((fingerprint(raw[at[i] : at[i + 1]].tobytes()) for i in range(batch.num_rows)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out.view(np.int64))], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -70,7 +95,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, key, fp, component_id) of each row: the least doc_id that links of up to 2 differing bits reach.
 
     Rows of one fingerprint are one node, so copies are never paired. A null or empty text has fingerprint 0 and links
-    like any other; a null doc_id is never a component_id unless no row of the component has an id; repeated rows stay;
+    like any other; a text of any length is read whole, piece by piece; a null doc_id is never a component_id unless no row of the component has an id; repeated rows stay;
     other columns are ignored; no rows give no rows."""
     rows = save(fingerprints(docs))
     nodes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -85,9 +110,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the least of their group. Repeated rows of that id and
     text stay; rows without an id stay if their whole group has none."""
+    theirs, ours, of = fresh(docs, "id", "key", "of")
     found = near_duplicates(docs)
-    gone = save(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
-    return docs.join(gone, F.col("_id").eqNullSafe(docs.doc_id) & (F.col("_key") == _key(docs.text)), "left_anti")
+    gone = save(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(theirs), F.col("key").alias(ours)).distinct())
+    keyed = docs.withColumn(of, _key(F.col("text")))
+    return keyed.join(gone, F.col(theirs).eqNullSafe(F.col("doc_id")) & (F.col(ours) == F.col(of)), "left_anti").drop(of)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
