@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import fresh, save, table
 
 WINDOW, SHINGLE = 10, 3
 #: Windows of the benchmark that are broadcast at once: about 300 bytes each, so 15 MB at most. More go in further blocks.
@@ -125,9 +125,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark window occurs."""
-    bad = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = F.xxhash64(F.coalesce(docs.text, F.lit("")))
-    return docs.join(bad, F.col("_id").eqNullSafe(docs.doc_id) & (F.col("_key") == keyed), "left_anti")
+    theirs, ours, of = fresh(docs, "id", "key", "of")
+    bad = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(theirs), F.col("key").alias(ours)).distinct()
+    keyed = docs.withColumn(of, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return keyed.join(bad, F.col(theirs).eqNullSafe(F.col("doc_id")) & (F.col(ours) == F.col(of)), "left_anti").drop(of)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
