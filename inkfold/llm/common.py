@@ -103,15 +103,24 @@ def extended(df: DataFrame, **new: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new] + [f"`{n}` {t}" for n, t in new.items()])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, longest: int) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts and 0/1 labels of at most `most` labelled documents whose crc32 bucket of 5 is not 0: those with the least
-    hash of id and text, among texts of up to `longest` bytes, so that the sample is bounded and depends on the rows
-    alone. Null labels and null ids teach nothing; of several labels of an id the least counts."""
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min(label).alias("_mark"))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_whole")).withColumn("_key", F.xxhash64("_whole"))
-    short = keyed.where(F.octet_length("_whole") <= longest).select("doc_id", "_key")
-    chosen = short.join(marks, "doc_id").select("doc_id", "_key", "_mark", F.xxhash64("doc_id", "_key").alias("_order")).orderBy("_order").limit(most)
-    found = keyed.join(F.broadcast(chosen), ["doc_id", "_key"]).select("_whole", "_mark", "_order").toArrow()
-    order = np.argsort(found["_order"].to_numpy(), kind="stable")
-    texts = found["_whole"].to_pylist()
-    return [texts[i] for i in order], (found["_mark"].to_numpy()[order] > 0).astype(np.float32)
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts and 0/1 labels of a bounded sample of the labelled documents whose crc32 bucket of 5 is not 0: in the order
+    of a hash of id and text, up to `most` documents, each if it still fits into `most_bytes` together with those before. So
+    the sample depends on the rows alone. Rows of one id and text count once; null labels and null ids teach nothing; of
+    several labels of an id the least counts."""
+    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min(label).alias("mark"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("whole")).withColumn("key", F.xxhash64("whole"))
+    met = keyed.select("doc_id", "key", F.octet_length("whole").alias("size")).distinct().join(marks, "doc_id")
+    first = met.select("doc_id", "key", "mark", "size", F.xxhash64("doc_id", "key").alias("place")).orderBy("place").limit(most).collect()
+    chosen, room = [], most_bytes
+    for row in first:
+        if row["size"] <= room:
+            chosen.append((row["doc_id"], row["key"], int(row["mark"] > 0), len(chosen)))
+            room -= row["size"]
+    if not chosen:
+        return [], np.zeros(0, np.float32)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, key long, mark int, place int")
+    texts = keyed.join(F.broadcast(wanted), ["doc_id", "key"]).groupBy("place").agg(F.first("whole").alias("whole"))
+    found = {r["place"]: bytes(r["whole"]) for r in texts.collect()}
+    return [found[k] for k in range(len(chosen))], np.array([c[2] for c in chosen], np.float32)

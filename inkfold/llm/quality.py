@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, extended, labelled, slices, table, text_buffer, with_columns
+from .common import crc_bucket, extended, fresh, labelled, slices, table, text_buffer, with_columns
 
 #: Bytes of a passage; the last of a text may be shorter.
 PASSAGE = 512
-#: Labelled documents that the model is fitted on, at most: those whose hashed id and text come first, among texts of
-#: TRAIN_BYTES or less. They are encoded whole, so the driver holds 40 MB of features as a rule.
-MAX_LABELLED, TRAIN_BYTES = 4000, 131_072
+#: Labelled documents that the model is fitted on, at most, and the bytes of their texts together, at most: the driver holds
+#: about twice these bytes of features.
+MAX_LABELLED, TRAIN_BYTES = 4000, 32_000_000
+#: Passages that are encoded at once (32 kB of counters each), and the bytes of a piece of a longer text.
+AT_ONCE, PIECE = 1024, 512 * PASSAGE
 CLASSES, HASHED, HIDDEN, ATTENTION, EPOCHS = 12, 128, 32, 16, 40
 WIDTH = CLASSES * CLASSES + HASHED + 6
 THRESHOLD = 0.3
@@ -62,13 +64,15 @@ def encode(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         out[:, CLASSES * CLASSES : -6] = held.reshape(total, HASHED, -1).sum(2) / norm
         out[:, -6] = (held > 0).sum(1) / norm[:, 0]
         out[:, -5] = (held > 2).sum(1) / norm[:, 0]
-    begins = np.nonzero((kinds > 2) & (np.concatenate([[0], kinds[:-1]]) <= 2))[0]
+    before = np.concatenate([[0], kinds[:-1]])[: len(raw)]
+    before[offsets[:-1][lengths > 0]] = 0  # no word runs from one text into the next
+    begins = np.nonzero((kinds > 2) & (before <= 2))[0]
     if len(begins) > 2:
         within = np.arange(len(raw)) - np.repeat(np.concatenate([[0], begins]), np.diff(np.concatenate([[0], begins, [len(raw)]])))
         letters = np.where((kinds == 5) | (kinds == 6) | (kinds == 4) | (kinds == 11), raw | np.uint8(32), 0).astype(np.int64)
         word = np.add.reduceat(letters * (within * within + 7 * within + 3), begins)
         for k in (1, 2):
-            again = (word[k:] == word[:-k]) & (word[k:] != 0)
+            again = (word[k:] == word[:-k]) & (word[k:] != 0) & (owner[begins[k:]] == owner[begins[:-k]])
             out[:, -5 + k] = np.bincount(passage[begins[k:]][again], minlength=total) * 6 / norm[:, 0]
     out[:, -2] = size / PASSAGE
     out[:, -1] = size == 0
@@ -79,24 +83,54 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(p: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Encoder, gated attention over each document's passages, and the score of the weighted passage representation."""
-    starts = np.cumsum(counts) - counts
-    of = np.repeat(np.arange(len(counts)), counts)
+def passages(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of the texts' passages and the number of the text of each, a bounded group at a time. A text longer than PIECE
+    is encoded piece by piece."""
+    cuts = [(a, min(a + PIECE, offsets[i + 1]), i) for i in range(len(offsets) - 1) for a in range(offsets[i], max(offsets[i + 1], offsets[i] + 1), PIECE)]
+    begin = 0
+    while begin < len(cuts):
+        end, held = begin, 0
+        while end < len(cuts) and (end == begin or held + (cuts[end][1] - cuts[end][0]) // PASSAGE + 1 <= AT_ONCE):
+            held += (cuts[end][1] - cuts[end][0]) // PASSAGE + 1
+            end += 1
+        at = np.array([c[0] for c in cuts[begin:end]] + [cuts[end - 1][1]], np.int64)
+        x, counts = encode(raw[at[0] : at[-1]], at - at[0])
+        yield x, np.repeat(np.array([c[2] for c in cuts[begin:end]]), counts)
+        begin = end
+
+
+def _hidden(p: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+    """Each passage's hidden representation and its gated attention before the softmax."""
     pre = ((x - p["mean"]) * p["scale"]) @ p["W"] + p["b"]
     h = np.maximum(pre, 0)
     t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-    e = (t * g) @ p["w"]
-    e = np.exp(e - np.maximum.reduceat(e, starts)[of])
+    return {"pre": pre, "h": h, "t": t, "g": g, "e": (t * g) @ p["w"]}
+
+
+def _forward(p: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Encoder, gated attention over each document's passages, and the score of the weighted passage representation."""
+    starts, of = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+    s = _hidden(p, x)
+    e = np.exp(s["e"] - np.maximum.reduceat(s["e"], starts)[of])
     a = e / np.add.reduceat(e, starts)[of]
-    z = np.add.reduceat(a[:, None] * h, starts)
-    return {"of": of, "starts": starts, "pre": pre, "h": h, "t": t, "g": g, "a": a, "z": z, "score": _sigmoid(z @ p["c"] + p["d"])}
+    z = np.add.reduceat(a[:, None] * s["h"], starts)
+    return s | {"of": of, "starts": starts, "a": a, "z": z, "score": _sigmoid(z @ p["c"] + p["d"])}
 
 
 def scores(p: dict[str, np.ndarray], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Score of each text, 0 to 1."""
-    x, counts = encode(raw, offsets)
-    return _forward(p, x, counts)["score"].astype(np.float64)
+    """Score of each text, 0 to 1. The softmax over a text's passages is summed up group by group."""
+    n = len(offsets) - 1
+    top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
+    for x, of in passages(raw, offsets):
+        s = _hidden(p, x)
+        most = top.copy()
+        np.maximum.at(most, of, s["e"])
+        ease = np.where(np.isfinite(top), np.exp(np.where(np.isfinite(top), top, 0) - np.where(np.isfinite(most), most, 0)), 0)
+        a = np.exp(s["e"] - most[of])
+        total, z, top = total * ease, z * ease[:, None], most
+        np.add.at(total, of, a)
+        np.add.at(z, of, a[:, None] * s["h"])
+    return _sigmoid(z / np.maximum(total, 1e-300)[:, None] @ p["c"] + p["d"])
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -106,8 +140,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     p = {k: v.astype(np.float32) for k, v in p.items()} | {"mean": np.zeros(WIDTH, np.float32), "scale": np.ones(WIDTH, np.float32)}
     if not texts:
         return p | {"c": np.zeros(HIDDEN, np.float32)}
-    parts = [encode(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
-    counts, x = np.array([c[0] for _, c in parts]), np.concatenate([f for f, _ in parts])
+    parts = [list(passages(np.frombuffer(t, np.uint8), np.array([0, len(t)]))) for t in texts]
+    counts, x = np.array([sum(len(of) for _, of in part) for part in parts]), np.concatenate([f for part in parts for f, _ in part])
     p["mean"], p["scale"] = x.mean(0), 1 / (x.std(0) + 0.02)
     first, free = np.cumsum(counts) - counts, [k for k in p if k not in ("mean", "scale")]
     moment, square, step = {k: np.zeros_like(p[k]) for k in free}, {k: np.zeros_like(p[k]) for k in free}, 0
@@ -142,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """docs with all their columns and `score` (replaced if there is one). A null text is an empty text; every text is
-    scored whole; no rows give no rows."""
+    scored whole, in bounded memory; equal texts score alike, and each of repeated rows is scored; a column of any other
+    name stays; no rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 50 KB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +190,10 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with their own columns alone, that score the threshold or more."""
-    return scored(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    (mark,) = fresh(docs, "mark")
+    given = docs.withColumnRenamed("score", mark)
+    kept = scored(given, fit(docs, labels)).where(F.col("score") >= threshold)
+    return kept.select(*[F.col(f"`{mark}`").alias("score") if c == "score" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, extended, labelled, slices, table, text_buffer, with_columns
 
-#: Labelled documents that the dictionaries and thresholds are fitted on, at most, and the longest text among them.
-MAX_LABELLED, TRAIN_BYTES = 6000, 131_072
+#: Labelled documents that the dictionaries and thresholds are fitted on, at most, and the bytes of their texts together, at
+#: most. The ordinary dictionary is trained on TRAIN_WINDOWS of their windows, drawn at random.
+MAX_LABELLED, TRAIN_BYTES, TRAIN_WINDOWS = 6000, 32_000_000, 20_000
 WINDOW, STEP, LEVEL, DICTIONARY = 96, 64, 6, 16_384
 THRESHOLD = 0.5
 #: A word beginning is toxic if it is in this many toxic documents, and so many times as frequent as in ordinary ones.
@@ -35,6 +36,13 @@ def windows(text: bytes) -> list[bytes]:
     return [text[i : i + WINDOW] for i in range(0, max(1, len(text) - WINDOW + STEP), STEP)]
 
 
+def window_groups(text: bytes, at_once: int = 50_000) -> Iterator[list[bytes]]:
+    """The windows of a text of any length, a bounded number at a time."""
+    last = max(1, len(text) - WINDOW + STEP)
+    for at in range(0, last, STEP * at_once):
+        yield [text[i : i + WINDOW] for i in range(at, min(last, at + STEP * at_once), STEP)]
+
+
 def _distinct(texts: list[bytes]) -> list[int]:
     """Positions of the texts that share none of 8 minima of word shingles with an earlier one."""
     seen: set[tuple[int, int]] = set()
@@ -102,9 +110,8 @@ class Scorer:
         ordinary, toxic = self.press
         out = np.zeros((len(texts), 21))
         for i, text in enumerate(texts):
-            cut = windows(normal(text))
-            d = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in cut), np.int64, len(cut))
-            n = len(cut)
+            d = np.concatenate([np.array([len(ordinary(w)) - len(toxic(w)) for w in cut], np.int64) for cut in window_groups(normal(text))])
+            n = len(d)
             k = np.array([(d >= h).sum() for h in range(1, 7)] + [(d <= -h).sum() for h in (1, 2)])
             gain = np.maximum(d, 0).sum()
             out[i] = [*np.log1p(k), *np.log((k + 0.5) / (n + 2)), np.log(n), d.max() / 4, gain / n, d.sum() / n, np.sqrt(gain)]
@@ -121,7 +128,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> dict:
     documents is best. Without texts every score is close to 0; without toxic texts too."""
     texts = [t.lower() for t in texts]
     rng, cut = np.random.default_rng(seed), [w for t, y in zip(texts, labels, strict=True) if y == 0 for w in windows(normal(t))]
-    model = {"ordinary": _dictionary([cut[i] for i in rng.permutation(len(cut))[:20_000]]), "toxic": b"".join(_GAP + s for s in reversed(toxic_stems(texts, labels)))}
+    model = {"ordinary": _dictionary([cut[i] for i in rng.permutation(len(cut))[:TRAIN_WINDOWS]]), "toxic": b"".join(_GAP + s for s in reversed(toxic_stems(texts, labels)))}
     model |= {"mean": np.zeros(21), "scale": np.ones(21), "weights": np.concatenate([np.zeros(21), [-5.0]])}
     if not len(texts) or labels.min() == labels.max():
         return model | ({"weights": np.concatenate([np.zeros(21), [5.0]])} if len(texts) and labels.min() > 0 else {})
@@ -147,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """docs with all their columns and `score` (replaced if there is one). A null text is an empty text; every text is
-    scored whole; no rows give no rows."""
+    scored whole; equal texts score alike, and each of repeated rows is scored; no rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 20 KB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
