@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import extended, slices, table, text_buffer, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text that are indexed together: the arrays of a batch take about 80 bytes for each.
+#: Bytes of text that are indexed together: the arrays of a batch take about 80 bytes for each. A longer text is cut where its
+#: ids do not change; a unit that cannot be cut is indexed window by window.
 BATCH = 1_000_000
 _UNITS = re.compile(rb"\n| ?[^ \n]+| ")
+#: The place before a newline or before a space that stands between two words: units begin there.
+_SAFE = re.compile(rb"[^ \n](?=\n)|[^ \n\x81](?= [^ \n\xe2])")
+_LONG_UNIT = 256
 _SPACE = "▁"
 _CACHE = 1 << 20
 _FAR = np.int64(1 << 40)
@@ -65,11 +69,12 @@ def load(path: str = MODEL) -> dict:
         surface[i] = name[i].encode()
     for b, i in bytes_at.items():
         surface[i] = bytes([b])
+    inside = {name[i][k : k + 2] for i in usable for k in range(len(name[i]) - 1)}
     wanted = sorted((name[i].encode(), i) for i in reachable)
     return {
         "size": size, "left": left, "right": right, "rank": ranks, "pair": keys, "pair_rank": np.array([joined[k] for k in keys.tolist()] + [0], np.int64),
         "pieces": [p for p, _ in wanted], "piece_ids": np.array([i for _, i in wanted], np.int32), "single": np.array([len(p.decode()) == 1 for p, _ in wanted]),
-        "bytes": np.array([bytes_at[b] for b in range(256)], np.int32), "spaces": spaces, "surface": surface,
+        "bytes": np.array([bytes_at[b] for b in range(256)], np.int32), "spaces": spaces, "surface": surface, "inside": inside,
     }
 
 
@@ -144,34 +149,65 @@ class Encoder:
             begin, piece = np.delete(begin, wrong), np.delete(piece, wrong)
         return begin, piece
 
-    def units(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of every distinct unit one after the other, and their offsets."""
-        t, size = self.t, self.t["size"]
-        buffer = b"\0".join(distinct) + b"\0"
+    def _occurrences(self, buffer: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and id of every occurrence of a piece in the units of a buffer. A character that is no piece falls back to its
+        bytes; the separators behind units have no edge."""
         raw = np.frombuffer(buffer, np.uint8)
-        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        starts = np.cumsum(lengths + 1) - (lengths + 1)
         begin, piece = self._edges(buffer)
-        # A character that is no piece falls back to its bytes; the separators between units have no edge.
         covered = np.zeros(len(raw) + 4, bool)
-        covered[begin[t["single"][piece]]] = True
+        covered[begin[self.t["single"][piece]]] = True
         inside = np.ones(len(raw), bool)
         inside[starts + lengths] = False
         lead = (raw & 0xC0) != 0x80
         alone = np.nonzero(inside & ~covered[np.maximum.accumulate(np.where(lead, np.arange(len(raw)), 0))])[0].astype(np.int32)
-        begin, token = np.concatenate([begin, alone]), np.concatenate([t["piece_ids"][piece], t["bytes"][raw[alone]]])
-        offset = (begin - np.repeat(starts, lengths + 1)[begin]).astype(np.int32)
-        order = np.argsort(offset.astype(np.uint16) if len(offset) and offset.max() < 65536 else offset, kind="stable")
+        return np.concatenate([begin, alone]), np.concatenate([self.t["piece_ids"][piece], self.t["bytes"][raw[alone]]])
+
+    def _relax(self, last: np.ndarray, begin: np.ndarray, token: np.ndarray, step: np.ndarray) -> None:
+        """Admit edges in order of step: last holds the piece that ends at each place (-1: none does)."""
+        order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 65536 else step, kind="stable")
         begin, token = begin[order], token[order].astype(np.int64)
-        bounds = np.searchsorted(offset[order], np.arange((int(offset.max()) if len(offset) else 0) + 2))
-        last = np.full(len(raw) + 1, -1, np.int32)
-        last[starts] = size
+        bounds = np.searchsorted(step[order], np.arange((int(step.max()) if len(step) else 0) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             here = last[begin[a:b]]
             got = np.nonzero(here >= 0)[0]
             src, tok = begin[a:b][got], token[a:b][got]
             ok = self.may_follow(here[got].astype(np.int64), tok)
             last[src[ok] + self.span[tok[ok]]] = tok[ok]
+
+    def _long_unit(self, unit: bytes) -> np.ndarray:
+        """Ids of one unit, whose occurrences are indexed a window at a time."""
+        raw, n, reach = np.frombuffer(unit, np.uint8), len(unit), int(self.lengths.max()) + 4
+        last = np.full(n + reach + 1, -1, np.int32)
+        last[0], at = self.t["size"], 0
+        while at < n:
+            to = min(n, at + BATCH)
+            while to < n and raw[to] & 0xC0 == 0x80:
+                to -= 1
+            window = unit[at : to + reach]
+            begin, token = self._occurrences(window + b"\0", np.zeros(1, np.int64), np.array([len(window)]))
+            mine = begin < to - at
+            self._relax(last[at:], begin[mine], token[mine], begin[mine])
+            at = to
+        out = []
+        while at > 0:
+            out.append(last[at])
+            at -= int(self.span[last[at]])
+        return np.array(out[::-1], np.int32)
+
+    def units(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every distinct unit one after the other, and their offsets."""
+        long = {i: self._long_unit(u) for i, u in enumerate(distinct) if len(u) > BATCH}
+        if long:
+            ids, at = self.units([b"" if i in long else u for i, u in enumerate(distinct)])
+            parts = [long.get(i, ids[at[i] : at[i + 1]]) for i in range(len(distinct))]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        buffer = b"\0".join(distinct) + b"\0"
+        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        starts = np.cumsum(lengths + 1) - (lengths + 1)
+        begin, token = self._occurrences(buffer, starts, lengths)
+        last = np.full(len(buffer) + 1, -1, np.int32)
+        last[starts] = self.t["size"]
+        self._relax(last, begin, token, (begin - np.repeat(starts, lengths + 1)[begin]).astype(np.int32))
         at, who, found = starts + lengths, np.arange(len(distinct)), []
         while len(who):
             open_ = at > starts[who]
@@ -186,13 +222,43 @@ class Encoder:
             out[offsets[w + 1] - 1 - step] = tok
         return out, offsets
 
+    def _cut(self, unit: bytes) -> list[bytes]:
+        """A long unit in parts: no piece holds the two characters beside a cut, so nothing merges across it."""
+        chars = unit.decode()
+        inside = self.t["inside"]
+        cuts = [0, *[k for k in range(1, len(chars)) if chars[k - 1 : k + 1] not in inside], len(chars)]
+        return [chars[a:b].encode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def parts(self, text: bytes) -> Iterator[bytes]:
+        """A text in parts of about BATCH bytes, cut before a newline or before a space between two words."""
+        begin = 0
+        while len(text) - begin > BATCH:
+            found = _SAFE.search(text, begin + BATCH)
+            if not found:
+                break
+            yield text[begin : found.start() + 1]
+            begin = found.start() + 1
+        yield text[begin:]
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and their offsets."""
+        if any(len(x) > BATCH for x in texts) and len(texts) > 1:
+            each = [self.encode([x]) for x in texts]
+            return np.concatenate([ids for ids, _ in each]), np.concatenate([[0], np.cumsum([at[1] for _, at in each])])
+        if texts and len(texts[0]) > BATCH:
+            done = [self._encoded([p], [k == 0])[0] for k, p in enumerate(self.parts(texts[0]))]
+            ids = np.concatenate(done)
+            return ids, np.array([0, len(ids)])
+        return self._encoded(texts, [True] * len(texts))
+
+    def _encoded(self, texts: list[bytes], first: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(); a text that is the first part of its own gets the dummy prefix."""
         index: dict[bytes, int] = {}
         refs, ends = [], []
-        for text in texts:
+        for text, lead in zip(texts, first, strict=True):
             if text:
-                refs += [index.setdefault(u, len(index)) for u in _UNITS.findall(b" " + text.replace(b"\xe2\x96\x81", b" "))]
+                for u in _UNITS.findall((b" " if lead else b"") + text.replace(b"\xe2\x96\x81", b" ")):
+                    refs += [index.setdefault(x, len(index)) for x in (self._cut(u) if len(u) > _LONG_UNIT else (u,))]
             ends.append(len(refs))
         if not index:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
@@ -240,7 +306,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     The ids are those of the model's own library. The method relaxes all occurrences of pieces in order of position; as the
     model is a byte-pair one, an edge is admitted if its piece may follow the piece that ends where it begins, of which
-    there is exactly one. A null or empty text has no ids; U+2581 encodes as a space, as in the library, and is the one
+    there is exactly one. Texts of any length are encoded whole, in bounded memory; equal texts get equal ids, and each of
+    repeated rows is encoded. A null or empty text has no ids; U+2581 encodes as a space, as in the library, and is the one
     character that does not round-trip. Columns of these names are replaced; no rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))  # bounded by the vocabulary: about 4 MB
 
