@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -18,7 +19,9 @@ from .common import slices, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select option textarea button datalist".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table")}
+_ENDED = {tag: (frozenset(ends.split()), frozenset(scope.split())) for tag, (ends, scope) in CLOSES.items()}
 SCOPES = frozenset("html body article aside section div table td th li dl ul ol main nav header footer form blockquote fieldset figure".split())
 
 # Words in tags, classes, ids and roles that tell content from the rest.
@@ -40,30 +43,60 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Nodes in page order, the root first. Ends of paragraphs and items that a page leaves out are put in; an end tag
-    without its start is left out."""
+    """Nodes in page order, the root first. Ends of paragraphs, items and the head that a page leaves out are put in; an end
+    tag without its start is left out. Each start tag looks at open elements of its own scope alone, and `counts` holds how
+    many of each name are open, so that a page's cost grows with its length."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes, self.open = [Node("html", "", -1, False)], [0]
+        self.counts: Counter[str] = Counter()
         self.runs: list[tuple[int, str]] = []
 
     def _pop_to(self, depth: int) -> None:
+        for i in self.open[depth:]:
+            self.counts[self.nodes[i].tag] -= 1
         del self.open[depth:]
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        ends, scope = CLOSES.get(tag, ("", ""))
-        ends, scope = set(ends.split()), set(scope.split())
-        if tag in BLOCK:
-            ends = ends | {"p"}
+    def _end_head(self) -> None:
+        """Close the head: an element that no head holds has begun."""
+        for depth in range(1, len(self.open)):
+            if self.nodes[self.open[depth]].tag == "head":
+                self._pop_to(depth)
+                return
+
+    def _begin_body(self) -> None:
+        """Put in the body that a page leaves out."""
+        if not self.counts["body"] and not self.counts["frameset"]:
+            self.nodes.append(Node("body", "", 0, False))
+            self.nodes[0].children.append(len(self.nodes) - 1)
+            self._pop_to(1)
+            self.open.append(len(self.nodes) - 1)
+            self.counts["body"] += 1
+
+    def _end_omitted(self, tag: str) -> None:
+        """Close what a start tag ends: an open paragraph, item, cell or row of the same scope."""
+        ends, scope = _ENDED.get(tag, (frozenset(), frozenset()))
+        ends = ends | {"p"} if tag in BLOCK else ends
+        if not any(self.counts[e] for e in ends):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             at = self.nodes[self.open[depth]].tag
             if at in ends:
                 self._pop_to(depth)
                 if at != "p" or not (ends - {"p"}):
-                    break
+                    return
             elif at in scope or (at in SCOPES and not (scope and at not in scope and ends - {"p"})):
-                break
+                return
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("html", "head", "body") and self.counts[tag] or tag == "html":
+            return  # a second one is left out
+        if self.counts["head"] and tag not in HEAD:
+            self._end_head()
+        if tag not in HEAD and tag not in ("head", "body", "frameset"):
+            self._begin_body()
+        self._end_omitted(tag)
         names = " ".join(str(v) for k, v in attrs if k in ("class", "id", "role", "aria-label") and v)
         hidden = tag in HIDDEN or any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "")) for k, v in attrs)
         parent = self.open[-1]
@@ -74,11 +107,14 @@ class Tree(HTMLParser):
             self.runs.append((len(self.nodes) - 1, " "))
         else:
             self.open.append(len(self.nodes) - 1)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.counts[tag]:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             at = self.nodes[self.open[depth]].tag
             if at == tag:
@@ -88,6 +124,10 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.counts["head"] and not data.isspace() and self.nodes[self.open[-1]].tag == "head":
+            self._end_head()  # text is no part of a head
+        if len(self.open) == 1 and not data.isspace():
+            self._begin_body()
         at = self.open[-1]
         if not self.nodes[at].hidden:
             self.runs.append((at, data))
@@ -298,8 +338,9 @@ def extract(html: str, model: tuple[np.ndarray, np.ndarray]) -> str:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of each row of pages. A null or empty html, or a page without content, has an empty text; the
-    whole html is read; repeated rows stay; other columns are ignored; no rows give no rows."""
+    """(page_id, url, text, n_chars) of each row of pages. A null or empty html, or a page without content, has an empty text;
+    the whole html is read, in time that grows with its length; equal pages get equal texts and repeated rows stay; other
+    columns, also ones named text or n_chars, are ignored; no rows give no rows."""
     shared = pages.sparkSession.sparkContext.broadcast(trained())  # a few hundred bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
