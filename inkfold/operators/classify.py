@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nfkc, trimmed
@@ -41,3 +44,23 @@ def classified(text: Column, normalise: bool = True, only: tuple[str, ...] = tup
     names = F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in found.items()])), ", ")
     total = F.when(enough, score).otherwise(0)
     return {"score": total, "is_card": total >= LEAST, "reason": F.when(enough, names).otherwise("too little text")}
+
+
+def classify(df: DataFrame, text: str = "text", normalise: bool = True, only: tuple[str, ...] = tuple(SIGNALS)) -> DataFrame:
+    """df with score, is_card and reason. As classified(), step by step: the text is normalised and lower-cased once and each
+    signal is tested once, since expressions in branches are not shared."""
+    t, bare = F.col("_t"), trimmed if normalise else F.trim
+    rows = df.withColumn("_t", nfkc(text) if normalise else F.coalesce(F.col(text), F.lit("")))
+    enough = (F.char_length(F.regexp_replace(t, r"(?U)\s+", "")) >= LEAST_CHARS) & (F.size(F.filter(F.split(t, "\\R"), lambda x: bare(x) != "")) >= LEAST_LINES)
+    rows = rows.withColumns({"_low": F.lower("_t"), "_enough": enough})
+    tests = {}
+    for name in only:
+        _, pattern, words = SIGNALS[name]
+        found = [F.contains("_low", F.lit(w)) for w in words]
+        if pattern:
+            found.append(F.contains(t, F.lit("@")) & t.rlike(pattern) if name == "email" else t.rlike(pattern))
+        tests[f"_{name}"] = F.col("_enough") & reduce(or_, found)
+    rows = rows.withColumns(tests)
+    score = sum((F.when(F.col(f"_{n}"), SIGNALS[n][0]).otherwise(0) for n in only), F.lit(0))
+    names = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_{n}"), n) for n in only])), ", ")
+    return rows.withColumns({"score": score, "reason": F.when(F.col("_enough"), names).otherwise("too little text")}).withColumn("is_card", F.col("score") >= LEAST).drop("_t", "_low", "_enough", *tests)

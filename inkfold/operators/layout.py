@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -101,31 +102,32 @@ def best_rotation(attempts: DataFrame, key: str = "image_id") -> DataFrame:
     return attempts.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
-def _numbers(raw: object) -> list[float]:
-    out = []
-    for item in raw:
-        pair = item[:2] if isinstance(item, list) and len(item) >= 2 else [item]
-        try:
-            out += [float(x) for x in pair]
-        except (TypeError, ValueError):
-            continue
-    return out
+def _floats(items: list) -> list[float] | None:
+    """The items as numbers; None if one is none."""
+    try:
+        return [float(x) for x in items]
+    except (TypeError, ValueError):
+        return None
 
 
 def _box(raw: object) -> list[float] | None:
+    """Corners x1, y1, x2, y2 of a box in any of three forms: an object of a corner and a size, four plain numbers (as they
+    are), or points and coordinates in a row. Points that are not numeric are left out; fewer than four coordinates are none."""
     if isinstance(raw, dict):
-        if not {"x", "y", "width", "height"} <= raw.keys():
-            return None
-        x, y, w, h = (float(raw[k]) for k in ("x", "y", "width", "height"))
-        return [x, y, x + w, y + h]
-    if not isinstance(raw, list):
-        return None
-    flat = _numbers(raw)
+        corner = _floats([raw.get(k) for k in ("x", "y", "width", "height")])
+        return corner and [*corner[:2], corner[0] + corner[2], corner[1] + corner[3]]
+    items = raw if isinstance(raw, list) else []
+    points = [p for p in (_floats(x[:2] if isinstance(x, list) and len(x) > 1 else [x]) for x in items) if p]
+    flat = list(itertools.chain.from_iterable(points))
     if len(flat) < 4:
         return None
-    if len(raw) == 4 and not any(isinstance(x, list) for x in raw):
-        return flat[:4]  # four scalars stay as they are
-    return [min(flat[::2]), min(flat[1::2]), max(flat[::2]), max(flat[1::2])]
+    plain = len(items) == 4 and all(not isinstance(x, list) for x in items)
+    return flat[:4] if plain else _hull(flat)
+
+
+def _hull(flat: list[float]) -> list[float]:
+    xs, ys = flat[::2], flat[1::2]
+    return [min(xs), min(ys), max(xs), max(ys)]
 
 
 def _nodes(root: object) -> Iterator[dict]:

@@ -1,16 +1,16 @@
 """Mutations of keyed tables as new snapshots: upsert, insert if absent, patches, cascading deletes, sweeps.
 
-Each is a function of the present table and the changes. `Snapshots` stores the results as versioned Parquet folders; a
-pointer file is replaced last, so a reader sees one whole version. Versions of several tables are not one transaction.
+Each is a function of the present table and the changes. `Snapshots` stores the results as versioned Parquet folders, of which
+a reader sees the last whole one; `Log` stores batches side by side. Versions of several tables are not one transaction.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Policy = Callable[[Column, Column, Column], Column]
 
@@ -103,34 +103,50 @@ def with_hashes(cards: DataFrame, files: DataFrame, path: str = "original_image_
 
 
 class Snapshots:
-    """Versioned tables in a folder that Spark's file systems reach. One writer at a time for a table."""
+    """Versioned tables in a folder that Spark's file systems reach. A version is a numbered folder, whole once Spark has
+    written its success file; the greatest whole one is read, so there is always one and a crash leaves the version before.
+    One writer at a time for a table."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def _file(self, name: str):
+    def _versions(self, name: str) -> list[int]:
         jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def version(self, name: str) -> str | None:
-        fs, at = self._file(name)
-        return self.spark.read.text(str(at)).first()[0] if fs.exists(at) else None
+    def version(self, name: str) -> int | None:
+        return max(self._versions(name), default=None)
 
     def read(self, name: str, empty: DataFrame | None = None) -> DataFrame | None:
         version = self.version(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}") if version else empty
-
-    def write(self, name: str, df: DataFrame) -> str:
-        """Write a version, then move the pointer to it."""
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        fs, at = self._file(name)
-        new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT.{version}")
-        out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        fs.delete(at, False)
-        if not fs.rename(new, at):
-            raise OSError(f"{at} could not be replaced")
+        return empty if version is None else self.spark.read.parquet(f"{self.root}/{name}/v{version}")
+
+    def write(self, name: str, df: DataFrame) -> int:
+        """The table's next version."""
+        version = (self.version(name) or 0) + 1
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")  # over what a crash left there
         return version
+
+
+class Log:
+    """A table that only grows: each batch is a folder of its own, written once under the batch's number. Written again after a
+    crash, it holds the same rows; earlier batches are never rewritten."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: T.StructType):
+        self.spark, self.at, self.schema = spark, f"{root}/{name}", schema
+
+    def read(self, but: int | None = None) -> DataFrame:
+        """All rows; `but` leaves out one batch."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.at)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])).parquet(self.at)
+        return (rows if but is None else rows.where(F.col("batch") != but)).drop("batch")
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.at}/batch={batch}")

@@ -21,20 +21,28 @@ def variants(query: str) -> list[str]:
     return [v for v in dict.fromkeys(spelled) if v]
 
 
-def like(c: Column, needle: str) -> Column:
-    """SQL LIKE '%needle%' that folds A-Z alone: % and _ in the needle are wildcards, a backslash is a backslash."""
-    folded = needle.translate(str.maketrans(UPPER, LOWER))
-    if "%" in folded or "_" in folded:
-        return ascii_folded(c).like("%" + folded.replace("\\", "\\\\") + "%")
-    return F.contains(ascii_folded(c), F.lit(folded))
+def like(c: Column, needle: str, folded: bool = False) -> Column:
+    """SQL LIKE '%needle%' that folds A-Z alone: % and _ in the needle are wildcards, a backslash is a backslash. folded: the
+    column is so already."""
+    wanted, c = needle.translate(str.maketrans(UPPER, LOWER)), c if folded else ascii_folded(c)
+    if "%" in wanted or "_" in wanted:
+        return c.like("%" + wanted.replace("\\", "\\\\") + "%")
+    return F.contains(c, F.lit(wanted))
 
 
-def matches(query: str, fields: list[str]) -> Column | None:
-    """Predicate of a search; None for a query of white space, which filters nothing."""
+def prepared(df: DataFrame, fields: list[str]) -> DataFrame:
+    """df with each field folded (_f_<name>), and without spaces (_d_<name>): once for all needles of matches()."""
+    df = df.withColumns({f"_f_{f}": F.when(F.octet_length(f) == F.char_length(f), F.lower(f)).otherwise(ascii_folded(F.col(f))) for f in fields})
+    return df.withColumns({f"_d_{f}": F.replace(F.replace(F.col(f"_f_{f}"), F.lit(" "), F.lit("")), F.lit("　"), F.lit("")) for f in fields})
+
+
+def matches(query: str, fields: list[str], ready: bool = False) -> Column | None:
+    """Predicate of a search; None for a query of white space, which filters nothing. ready: over the columns of prepared()."""
     found = variants(query)
     if not found:
         return None
-    terms = [like(side, v) for v in found for f in fields for side in (F.col(f), despaced(F.col(f)))]
+    sides = lambda f: (F.col(f"_f_{f}"), F.col(f"_d_{f}")) if ready else (F.col(f), despaced(F.col(f)))
+    terms = [like(side, v, ready) for v in found for f in fields for side in sides(f)]
     return F.coalesce(reduce(or_, [F.coalesce(t, F.lit(False)) for t in terms]), F.lit(False))
 
 
@@ -46,8 +54,8 @@ def search(cards: DataFrame, query: str | None = None, status: str | None = None
         out = out.where(F.col(status_col) == status)
     if owner:
         out = out.where(F.col(owner_col) == owner)
-    if query and (found := matches(query, fields or [])) is not None:
-        out = out.where(found)
+    if query and (found := matches(query, fields or [], ready=True)) is not None:
+        out = prepared(out, fields or []).where(found).select(*out.columns)
     return out.drop(*drop).orderBy(F.col(order[0]).desc(), F.col(order[1]).desc())
 
 

@@ -6,6 +6,7 @@ are users, events the inbound log, conversations ordered sides, embeddings array
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, classify, layout, lookup, merge, queue, search
+from ..operators import catalog, classify, layout, lookup, merge, queue, search, writes
 from ..sources import models
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,8 +40,12 @@ def _like(fields: str, needles: list[str]) -> str:
 
 
 def _shared(spark: SparkSession, kind: str) -> str:
-    """A new folder where all executors see it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """A new folder where all executors see it; without spark.checkpoint.dir only a session of one process has such."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{shared}/inkfold-{kind}-{spark.sql('select uuid()').first()[0]}"
 
 
@@ -118,9 +123,9 @@ _FIELDS = ["text", "source", "lang"]
 
 @query(f"SELECT doc_id, source, lang FROM documents WHERE {_like('text source lang', ['theread', 'src1'])} ORDER BY doc_id DESC")
 def search_multi_field(spark, t):
-    docs = t("documents").withColumn("created_at", F.col("doc_id"))
-    one, two = (search.matches(q, _FIELDS) for q in ("TheRead", "src1"))
-    return search.search(docs.where(one | two), drop=("text", "n_chars"), order=("created_at", "doc_id")).drop("created_at")
+    docs = search.prepared(t("documents").withColumn("created_at", F.col("doc_id")), _FIELDS)
+    one, two = (search.matches(q, _FIELDS, ready=True) for q in ("TheRead", "src1"))
+    return search.search(docs.where(one | two), order=("created_at", "doc_id")).select("doc_id", "source", "lang")
 
 
 @query(f"SELECT doc_id FROM documents WHERE {_like('text', ['éea'])}")
@@ -141,13 +146,13 @@ def search_scoped(spark, t):
 
 @query(f"SELECT doc_id, CAST(r AS INTEGER) AS rank, total, greatest(total - 5, 0) AS remaining FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) r, count(*) OVER () AS total FROM documents WHERE {_like('text', ['sh'])}) WHERE r <= 5")
 def search_top5_remainder(spark, t):
-    found = t("documents").where(search.matches("sh", ["text"])).select("doc_id")
+    found = search.prepared(t("documents"), ["text"]).where(search.matches("sh", ["text"], ready=True)).select("doc_id")
     return search.top_with_rest(found, [F.col("doc_id").desc()]).select("doc_id", "rank", "total", "remaining")
 
 
 @query(f"SELECT CAST(max(total) AS VARCHAR) || ' found' || chr(10) || string_agg(r || '. ' || doc_id, chr(10) ORDER BY r) || chr(10) || '+' || CAST(max(total) - 5 AS VARCHAR) AS reply FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) r, count(*) OVER () AS total FROM documents WHERE {_like('text', ['sh'])}) WHERE r <= 5")
 def search_reply(spark, t):
-    found = t("documents").where(search.matches("sh", ["text"])).select("doc_id")
+    found = search.prepared(t("documents"), ["text"]).where(search.matches("sh", ["text"], ready=True)).select("doc_id")
     top = search.top_with_rest(found, [F.col("doc_id").desc()])
     return search.reply_text(top.withColumn("name", F.col("doc_id").cast("string")), "name")
 
@@ -224,20 +229,20 @@ def unpivot_sides(spark, t):
     return catalog.sides_of(orders, {"path": ("o_orderstatus", "back"), "label": ("o_orderpriority", "o_orderstatus")}, "o_orderkey")
 
 
-@query("SELECT conv_id, max(CASE WHEN role = 'user' THEN text END) AS text, max(CASE WHEN role = 'assistant' THEN text END) AS back_text FROM conversations WHERE turn IN (0, 1) GROUP BY conv_id")
+@query("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS text, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS back_text FROM conversations GROUP BY conv_id")
 def overlay_pivot(spark, t):
-    rows = t("conversations").where("turn in (0, 1)")
+    rows = t("conversations")
     side = F.when(F.col("role") == "user", "front").when(F.col("role") == "assistant", "back").otherwise("other")
-    images = rows.withColumn("side", side)
+    images = lookup.first_per(rows.withColumn("side", side), ["conv_id", "side"], [F.col("turn")])
     return catalog.overlay(rows.select("conv_id").distinct(), images, ["text"], "conv_id", "conv_id")
 
 
 # Mutations
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id % 4 = 1 AND NOT event_id IN (SELECT event_id FROM events WHERE event_id % 8 < 4)")
+@query("SELECT event_id, event_type FROM events WHERE NOT event_id IN (SELECT event_id FROM events WHERE event_type = 'click')")
 def insert_if_absent(spark, t):
-    log, incoming = t("events").where("event_id % 8 < 4"), t("events").where("event_id % 4 = 1")
+    log, incoming = t("events").where("event_type = 'click'"), t("events")
     return merge.new_only(log, incoming.union(incoming), ["event_id"], [F.col("ts")]).select("event_id", "event_type")
 
 
@@ -273,9 +278,10 @@ def patch_flag(spark, t):
     return merge.upsert(t("customer").select("c_custkey", "c_acctbal"), changes, ["c_custkey"], {"c_acctbal": merge.flagged("refresh")}, insert=False)
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN trim(regexp_replace('  a  b ', '\\s+', ' ', 'g')) ELSE c_name END AS c_name, c_mktsegment FROM customer")
+@query("SELECT c_custkey, trim(regexp_replace('  ' || c_mktsegment || '  ' || c_name || ' ', '\\s+', ' ', 'g')) AS c_name, c_mktsegment FROM customer")
 def patch_whitelist(spark, t):
-    changes = t("customer").where("c_custkey % 3 = 0").select("c_custkey", F.create_map(F.lit("c_name"), F.lit("  a  b "), F.lit("c_mktsegment"), F.lit("no")).alias("values"))
+    raw = F.concat(F.lit("  "), "c_mktsegment", F.lit("  "), "c_name", F.lit(" "))
+    changes = t("customer").select("c_custkey", F.create_map(F.lit("c_name"), raw, F.lit("c_mktsegment"), F.lit("no")).alias("values"))
     return merge.patch(t("customer").select("c_custkey", "c_name", "c_mktsegment"), changes, "c_custkey", {"c_name": T.collapsed})
 
 
@@ -307,6 +313,122 @@ def route_events(spark, t):
     return met.select("event_id", queue.route(kind, user, message, F.col("props")).alias("status"))
 
 
+# Writes: cards are customers or orders, their images the sides of orders, results what the lines numbered 1 and 2 hold
+
+_NOW = "2024-01-01T00:00:00+00:00"
+
+
+def _cards(t) -> DataFrame:
+    c = t("customer")
+    null = lambda kind: F.lit(None).cast(kind)
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), F.col("c_name").alias("back_ocr_text"), F.lit("e").alias("error_message"), null("string").alias("back_original_image_path"), F.lit("").alias("updated_at"))
+
+
+@query("SELECT 'cards' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id AS card_id, 'queued' AS status, sha256(text) AS sha256 FROM documents UNION ALL SELECT 'card_images', doc_id || ':front', doc_id, lang, sha256(text) FROM documents UNION ALL SELECT 'jobs', 'job' || doc_id, doc_id, 'queued', NULL FROM documents")
+def create_card(spark, t):
+    new = lookup.hashed(t("documents"), "text").select(F.col("doc_id").alias("card_id"), F.concat(F.lit("in/"), F.col("doc_id").cast("string")).alias("path"), "sha256", F.col("lang").alias("direction"), F.concat(F.lit("job"), F.col("doc_id").cast("string")).alias("job_id"))
+    out = writes.new_cards(new, _NOW)
+    kinds = [out["cards"].select(F.lit("cards").alias("kind"), F.col("id").cast("string").alias("id"), F.col("id").alias("card_id"), "status", F.col("original_sha256").alias("sha256"))]
+    kinds.append(out["card_images"].select(F.lit("card_images"), "id", "card_id", "ocr_direction", "original_sha256"))
+    kinds.append(out["jobs"].select(F.lit("jobs"), "id", "card_id", "status", F.lit(None).cast("string")))
+    return kinds[0].union(kinds[1]).union(kinds[2])
+
+
+@query("SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN c_mktsegment ELSE 'queued' END AS status, CASE WHEN s_suppkey IS NULL THEN c_name END AS back_ocr_text, CASE WHEN s_suppkey IS NULL THEN 'e' END AS error_message, s_name AS back_original_image_path FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def set_back_image(spark, t):
+    new = t("supplier").select(F.col("s_suppkey").alias("card_id"), F.col("s_name").alias("path"), F.lit("s").alias("sha256"), F.lit("auto").alias("direction"))
+    return writes.back_images(_cards(t), new, _NOW)["cards"].drop("updated_at")
+
+
+@query("SELECT 'cards' AS kind, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 'queued' ELSE c_mktsegment END AS status FROM customer UNION ALL SELECT 'jobs', CAST(o_orderkey AS VARCHAR), 'queued' FROM orders WHERE o_orderpriority = '1-URGENT'")
+def enqueue_job(spark, t):
+    wanted = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("card_id"), F.lit("reextract").alias("type"), F.col("o_orderkey").alias("job_id"))
+    jobs = writes.job_rows(wanted.limit(0), _NOW)
+    out = writes.enqueued(_cards(t), jobs, wanted, _NOW)
+    return out["cards"].select(F.lit("cards").alias("kind"), F.col("id").cast("string").alias("id"), "status").union(out["jobs"].select(F.lit("jobs"), "id", "status"))
+
+
+def _processed(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    o = t("orders")
+    cards = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("ocr_text"), F.lit("old").alias("back_ocr_text"), F.lit(None).cast("long").alias("ocr_duration_ms"), F.lit(None).cast("long").alias("back_ocr_duration_ms"), F.lit("old").alias("processed_image_path"), F.lit("old").alias("back_processed_image_path"), F.lit("e").alias("error_message"), F.lit("").alias("updated_at"))
+    images = o.select(F.col("o_orderkey").alias("card_id"), F.explode(F.array(F.lit("front"), F.lit("back"))).alias("side"), F.lit("old").alias("ocr_text"), F.lit("old").alias("processed_image_path"), F.lit("").alias("updated_at"))
+    side = F.when(F.col("l_linenumber") == 1, "front").when(F.col("l_linenumber") == 2, "back").otherwise("other")
+    read = t("lineitem").groupBy(F.col("l_orderkey").alias("card_id"), side.alias("side")).agg(F.max(F.concat_ws("/", "l_returnflag", "l_linestatus")).alias("text"), F.max("l_partkey").alias("ms"))
+    results = read.select("*", F.lit("[]").alias("blocks_json"), F.concat(F.lit("p/"), "text").alias("processed"), F.lit(None).cast("string").alias("thumbnail"))
+    return cards, images, results
+
+
+_LINES = "(SELECT l_orderkey AS k, max(l_returnflag || '/' || l_linestatus) AS x, max(l_partkey) AS ms FROM lineitem WHERE l_linenumber = {} GROUP BY 1)"
+_BOTH = f"orders LEFT JOIN {_LINES.format(1)} f ON f.k = o_orderkey LEFT JOIN {_LINES.format(2)} b ON b.k = o_orderkey"
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN f.k IS NULL AND b.k IS NULL THEN o_orderstatus ELSE 'extracting' END AS status, coalesce(f.x, o_orderpriority) AS ocr_text, coalesce(b.x, 'old') AS back_ocr_text, f.ms AS ocr_duration_ms, b.ms AS back_ocr_duration_ms FROM {_BOTH}")
+def save_ocr_result(spark, t):
+    return writes.recognised(*_processed(t), _NOW)["cards"].select("id", "status", "ocr_text", "back_ocr_text", "ocr_duration_ms", "back_ocr_duration_ms")
+
+
+@query(f"SELECT o_orderkey AS card_id, 'front' AS side, coalesce(f.x, 'old') AS ocr_text FROM {_BOTH} UNION ALL SELECT o_orderkey, 'back', coalesce(b.x, 'old') FROM {_BOTH}")
+def save_ocr_images(spark, t):
+    return writes.recognised(*_processed(t), _NOW)["card_images"].select("card_id", "side", "ocr_text")
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN f.k IS NULL AND b.k IS NULL THEN o_orderstatus ELSE 'ocr_processing' END AS status, coalesce('p/' || f.x, 'old') AS processed_image_path, coalesce('p/' || b.x, 'old') AS back_processed_image_path, CASE WHEN f.k IS NULL AND b.k IS NULL THEN 'e' END AS error_message FROM {_BOTH}")
+def save_artefacts(spark, t):
+    return writes.processed(*_processed(t), _NOW)["cards"].select("id", "status", "processed_image_path", "back_processed_image_path", "error_message")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN c_mktsegment ELSE 'ready' END AS status, CASE WHEN s_suppkey IS NULL THEN 'old' ELSE s_name END AS email, CASE WHEN s_suppkey IS NULL THEN 'old' ELSE '' END AS tel, CASE WHEN s_suppkey IS NULL THEN 'e' END AS error_message FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def save_extraction(spark, t):
+    cards = _cards(t).select("id", "status", "error_message", F.lit("old").alias("email"), F.lit("old").alias("tel"))
+    results = t("supplier").select(F.col("s_suppkey").alias("card_id"), F.lit("{}").alias("raw"), F.lit(1).alias("ms"), F.col("s_name").alias("email"), F.lit(None).cast("string").alias("tel"))
+    return writes.extracted(cards, results, _NOW).select("id", "status", "email", "tel", "error_message")
+
+
+@query("SELECT c_custkey AS line_user_id, CASE WHEN s_suppkey IS NULL THEN c_mktsegment ELSE 'active' END AS status FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def activate_user(spark, t):
+    users = t("customer").select(F.col("c_custkey").alias("line_user_id"), F.col("c_mktsegment").alias("status"))
+    return writes.activated(users, t("supplier").select(F.col("s_suppkey").alias("line_user_id")), _NOW)
+
+
+@query("SELECT o_orderkey AS token_hash FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def end_sessions(spark, t):
+    ended = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("token_hash"))
+    return writes.without_sessions(t("orders").select(F.col("o_orderkey").alias("token_hash")), ended)
+
+
+@query("SELECT event_id, user_id IN (SELECT c_custkey FROM customer) AS found FROM events")
+def existence_check(spark, t):
+    return writes.exists(t("events").select("event_id", "user_id"), t("customer"), "user_id", "c_custkey").select("event_id", "found")
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 12")
+def first_twelve(spark, t):
+    return search.search(t("documents").select("doc_id"), order=("doc_id", "doc_id")).limit(12)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents) WHERE first <> doc_id")
+def duplicate_of_another(spark, t):
+    cards = lookup.hashed(t("documents"), "text").select("sha256", F.col("doc_id").alias("card_id"), F.col("doc_id").alias("created_at"))
+    first = lookup.duplicates(cards, cards).withColumnRenamed("card_id", "first")
+    return cards.join(first, "sha256").where("first <> card_id").select(F.col("card_id").alias("doc_id"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN c_custkey IS NULL THEN 'done' WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderpriority = '5-LOW' THEN 'error' ELSE 'extract' END WHEN o_orderkey % 4 = 0 THEN 'error' WHEN o_totalprice < 100000 THEN 'not_card' ELSE 'extract' END AS next FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') c ON o_custkey = c_custkey")
+def job_branches(spark, t):
+    known = t("customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("card"))
+    met = t("orders").join(known, F.col("o_custkey") == F.col("card"), "left")
+    kind = F.when(F.col("o_orderstatus") == "O", "reextract").otherwise("process_card")
+    combined = F.when(F.col("o_orderpriority") == "5-LOW", " ").otherwise(F.col("o_orderpriority"))
+    out = writes.job_outcome(kind, F.col("card").isNotNull(), F.col("o_orderkey") % 4, combined, F.col("o_totalprice") >= 100000)
+    return met.select(F.col("o_orderkey").alias("id"), out["next"].alias("next"))
+
+
+@query("SELECT batch, string_agg(line, chr(10) ORDER BY n, line) AS summary FROM (SELECT l_orderkey AS batch, l_linenumber AS n, CASE WHEN l_returnflag = 'R' THEN 'NG: ' || l_partkey || ': ' || l_linestatus ELSE 'OK: ' || l_partkey || CASE WHEN l_returnflag = 'A' THEN ' (duplicate)' ELSE ' (queued)' END END AS line FROM lineitem) GROUP BY batch")
+def upload_summary(spark, t):
+    files = t("lineitem").select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("name"), (F.col("l_returnflag") == "A").alias("duplicate"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("error"))
+    return writes.upload_summary(files, "batch", "name", "n")
+
+
 # Scalars, arrays, JSON
 
 
@@ -326,9 +448,9 @@ def url_suffix(spark, t):
     return t("pages").select("page_id", T.with_query(F.col("url"), F.concat(F.lit("card="), F.col("page_id").cast("string"))).alias("link"))
 
 
-@query("SELECT page_id, lower(trim(split_part(' Image/JPEG ; q=' || page_id, ';', 1))) AS kind FROM pages")
+@query("SELECT page_id, lower(trim(split_part(' Image/' || url || ' ; q=' || page_id, ';', 1))) AS kind FROM pages")
 def content_type(spark, t):
-    return t("pages").select("page_id", T.content_type(F.concat(F.lit(" Image/JPEG ; q="), F.col("page_id").cast("string"))).alias("kind"))
+    return t("pages").select("page_id", T.content_type(F.concat(F.lit(" Image/"), "url", F.lit(" ; q="), F.col("page_id").cast("string"))).alias("kind"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN '横書き' WHEN lang = 'de' THEN '縦書き' ELSE '自動' END AS label FROM documents")
@@ -346,8 +468,7 @@ _SIGNALS = {n: "(" + " OR ".join(([f"regexp_matches(text, '{p}')"] if p else [])
 
 @query("SELECT doc_id, CAST(CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) < 18 OR len([x for x in string_split(text, chr(10)) if trim(x) <> '']) < 3 THEN 0 ELSE " + " + ".join(f"CASE WHEN {_SIGNALS[n]} THEN {classify.SIGNALS[n][0]} ELSE 0 END" for n in _SIGNALS) + " END AS INTEGER) AS score, CAST(CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) < 18 OR len([x for x in string_split(text, chr(10)) if trim(x) <> '']) < 3 THEN 0 ELSE " + " + ".join(f"CASE WHEN {_SIGNALS[n]} THEN {classify.SIGNALS[n][0]} ELSE 0 END" for n in _SIGNALS) + " END >= 3 AS BOOLEAN) AS is_card FROM documents")
 def classify_signals(spark, t):
-    found = classify.classified(F.col("text"), normalise=False, only=tuple(_SIGNALS))
-    return t("documents").select("doc_id", found["score"].alias("score"), found["is_card"].alias("is_card"))
+    return classify.classify(t("documents"), normalise=False, only=tuple(_SIGNALS)).select("doc_id", "score", "is_card")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k_number FROM events")
@@ -385,12 +506,14 @@ def bbox_minmax(spark, t):
     return t("embeddings").select("vec_id", *[F.get(box, k).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-@query(f"SELECT label, string_agg(vec_id, ',' ORDER BY -b[1], b[2], vec_id) AS tall, string_agg(vec_id, ',' ORDER BY b[2], b[1], vec_id) AS wide FROM (SELECT e.vec_id, label, b FROM embeddings e JOIN ({_BOX}) USING (vec_id) WHERE e.vec_id < 200) GROUP BY label")
+@query("SELECT vec_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY -x, y, k) AS tall, string_agg(CAST(k AS VARCHAR), ',' ORDER BY y, x, k) AS wide FROM (SELECT vec_id, k, round_even(CAST(embedding[4 * k + 1] AS DOUBLE) * 100, 0) AS x, round_even(CAST(embedding[4 * k + 2] AS DOUBLE) * 100, 0) AS y FROM embeddings, generate_series(0, 15) AS g(k)) GROUP BY vec_id")
 def reading_order(spark, t):
-    block = F.struct(F.col("vec_id").cast("string").alias("text"), F.col("b").alias("box"), F.lit(0.0).alias("font_size"))
-    per = _boxes(t).where("vec_id < 200").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", block.alias("k")))), lambda x: x["k"]).alias("l"))
+    """The blocks of one image are one row: here sixteen boxes of each vector."""
+    number = lambda k: F.rint(F.get("embedding", k).cast("double") * 100)
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(k.cast("string").alias("text"), F.array(*[number(4 * k + i) for i in range(4)]).alias("box"), F.lit(0.0).alias("font_size")))
+    rows = t("embeddings").select("vec_id", blocks.alias("l"))
     show = lambda way: F.array_join(F.transform(layout.reading_order(F.col("l"), F.lit(way)), lambda x: x["text"]), ",")
-    return per.select("label", show("vertical").alias("tall"), show("horizontal").alias("wide"))
+    return rows.select("vec_id", show("vertical").alias("tall"), show("horizontal").alias("wide"))
 
 
 @query(f"SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY -b[1], b[2], vec_id) AS tall, row_number() OVER (PARTITION BY label ORDER BY b[2], b[1], vec_id) AS wide FROM (SELECT e.vec_id, label, b FROM embeddings e JOIN ({_BOX}) USING (vec_id))")
@@ -436,8 +559,7 @@ def normalised_fields(spark, t):
 
 @query()
 def classify_whole(spark, t):
-    found = classify.classified(F.col("text"))
-    return t("documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
+    return classify.classify(t("documents")).select("doc_id", "score", "is_card", "reason")
 
 
 @query()

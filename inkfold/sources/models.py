@@ -20,22 +20,29 @@ from ..schema import EXTRACTED
 Model = Callable[[list], list]
 
 
-def apply_model(df: DataFrame, column: str, out: str, load: Callable[[], Model]) -> DataFrame:
-    """df with `out`: the model's text for each value of `column`. The model is loaded once for each Python worker; a row on
-    which it fails has a null and its error in <out>_error, and does not fail the batch."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string, `{out}_error` string"
+def apply_model(df: DataFrame, column: str, out: str, load: Callable[[], Model], kind: str = "string") -> DataFrame:
+    """df with `out`: the model's answer (of any Spark type: text, bytes, struct) for each value of `column`. The model is loaded
+    once for each Python worker and is called with a batch of values; where that fails, with each alone: a row on which it
+    fails has a null and its error in <out>_error."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` {kind}, `{out}_error` string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in frames:
-            answers, errors = [], []
-            for value in frame[column]:
-                try:
-                    answers.append(model([value])[0])
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001
-                    answers.append(None)
-                    errors.append(str(e)[:2000])
+            values = frame[column].tolist()
+            try:
+                answers, errors = list(model(values)), [None] * len(values)
+                if len(answers) != len(values):
+                    raise ValueError("a model answers each value once")
+            except Exception:  # noqa: BLE001
+                answers, errors = [], []
+                for value in values:  # some row fails: find which
+                    try:
+                        answers.append(model([value])[0])
+                        errors.append(None)
+                    except Exception as e:  # noqa: BLE001
+                        answers.append(None)
+                        errors.append(str(e)[:2000])
             yield frame.assign(**{out: answers, f"{out}_error": errors})
 
     return df.mapInPandas(run, schema)

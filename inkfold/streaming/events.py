@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import Snapshots, new_only
+from ..operators.merge import Log, Snapshots, new_only
 from ..operators.queue import claim, finished, route
 from ..schema import JOBS, LINE_EVENTS, WEBHOOK
 
@@ -34,13 +34,13 @@ def routed(events: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def log_batch(spark: SparkSession, tables: Snapshots, users: DataFrame, now: Callable[[], str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: new events are routed and added to the table line_events."""
+    """A foreachBatch function: new events are routed and added to the log line_events, a folder for each batch."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        log = tables.read("line_events", spark.createDataFrame([], LINE_EVENTS))
-        fresh = new_only(log, batch, ["id"], [F.col("event_type"), F.col("message_id"), F.col("text")])
+    def run(batch: DataFrame, number: int) -> None:
+        log = Log(spark, tables.root, "line_events", LINE_EVENTS)
+        fresh = new_only(log.read(but=number), batch, ["id"], [F.col("event_type"), F.col("message_id"), F.col("text")])
         rows = routed(fresh, users).withColumns({"created_at": F.lit(now()), "updated_at": F.lit(now())})
-        tables.write("line_events", log.unionByName(rows.select(*[c for c in log.columns if c in rows.columns]), allowMissingColumns=True))
+        log.append(rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in LINE_EVENTS.fields]), number)
 
     return run
 

@@ -76,3 +76,25 @@ def test_variant_text(spark):
     got = row.select(*[t.string_or_empty(F.try_variant_get("v", f"$.{k}", "variant")).alias(k) for k in "abcde"], t.string_or_empty(F.col("n")).alias("n")).first()
     assert tuple(got) == ("x", "[1]", '{"k":1}', "2", "", "")
     assert len(EXTRACTED) == 12
+
+
+def plain_kanji(number):
+    """One digit after another, with three sums: the stored reading that must be kept."""
+    if not any(ch in t.UNITS for ch in number):
+        return int("".join(str(t.DIGITS[ch]) for ch in number))
+    units = {u: n for u, n in t.UNITS.items() if u != "万"}
+    total, group, digit = 0, 0, 0
+    for ch in number:
+        if ch in units:
+            group, digit = group + units[ch] * (digit or 1), 0
+        elif ch == "万":
+            total, group, digit = total + 10000 * (group + (digit or 1)), 0, 0
+        else:
+            digit = t.DIGITS[ch]
+    return total + group + digit
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="".join(t.DIGITS) + "".join(t.UNITS) * 3, min_size=1, max_size=9))
+def test_kanji_numbers_of_any_order(number):
+    assert t.kanji_number(number) == plain_kanji(number)
