@@ -18,7 +18,7 @@ def claim(jobs: DataFrame, now: str, n: int = 1, order: tuple[str, str] = ("crea
     writer at a time: Structured Streaming gives that for a checkpoint."""
     picked = next_jobs(jobs, n, order)
     marks = picked.select(F.col("id").alias("_id"))
-    met = jobs.join(F.broadcast(marks), jobs.id == marks._id, "left")  # n rows
+    met = jobs.join(marks, jobs.id == marks._id, "left")
     new = {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "started_at": F.lit(now)}
     after = met.select(*[F.when(F.col("_id").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
     return picked.withColumn("status", F.lit("running")), after

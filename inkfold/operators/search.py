@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import HIRAGANA, KATAKANA, LOWER, UPPER, ascii_folded, despaced, first_filled
+from ..functions.text import HIRAGANA, KATAKANA, LOWER, UPPER, ascii_folded, despaced, first_filled, with_query
 
 
 def variants(query: str) -> list[str]:
@@ -79,3 +79,28 @@ def reply_text(top: DataFrame, name: str, lead: str = "{total} found") -> DataFr
     tail = F.when(F.col("remaining") > 0, F.array(F.concat(F.lit("+"), F.col("remaining").cast("string")))).otherwise(F.array().cast("array<string>"))
     head = F.array(F.replace(F.lit(lead), F.lit("{total}"), F.coalesce(F.col("total"), F.lit(0)).cast("string")))
     return lines.select(F.array_join(F.concat(head, body, tail), "\n").alias("reply"))
+
+
+# The texts of replies.
+REPLIES = {
+    "taken": "名刺画像を受け付けました。",
+    "known": "すでに登録済みの名刺でした。",
+    "see": "確認: ",
+    "later": "管理画面で処理結果を確認してください。",
+    "suspended": "このLINEアカウントは利用停止中です。",
+    "register": "利用登録が必要です。",
+    "register_at": "登録または名刺一覧: ",
+    "ask": "管理者に連絡してください。",
+}
+
+
+def accepted_reply(card: Column, duplicate: Column, app_url: str = "") -> Column:
+    """Answer to an image: whether its card is new or known, and where to see it."""
+    where = F.concat(F.lit(REPLIES["see"]), with_query(F.lit(app_url), F.concat(F.lit("card="), card))) if app_url else F.lit(REPLIES["later"])
+    return F.concat_ws("\n", F.when(duplicate, REPLIES["known"]).otherwise(REPLIES["taken"]), where)
+
+
+def registration_reply(status: Column, app_url: str = "") -> Column:
+    """Answer to a user who may not use the catalogue, by their status (null: unknown)."""
+    ask = f"{REPLIES['register']}\n{REPLIES['register_at']}{app_url}" if app_url else REPLIES["register"] + REPLIES["ask"]
+    return F.when(F.coalesce(status, F.lit("")) == "suspended", REPLIES["suspended"]).otherwise(ask)

@@ -350,7 +350,7 @@ def enqueue_job(spark, t):
 
 def _processed(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     o = t("orders")
-    cards = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("ocr_text"), F.lit("old").alias("back_ocr_text"), F.lit(None).cast("long").alias("ocr_duration_ms"), F.lit(None).cast("long").alias("back_ocr_duration_ms"), F.lit("old").alias("processed_image_path"), F.lit("old").alias("back_processed_image_path"), F.lit("e").alias("error_message"), F.lit("").alias("updated_at"))
+    cards = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("ocr_text"), F.lit("old").alias("back_ocr_text"), F.lit(-1).cast("long").alias("ocr_duration_ms"), F.lit(-1).cast("long").alias("back_ocr_duration_ms"), F.lit("old").alias("processed_image_path"), F.lit("old").alias("back_processed_image_path"), F.lit("e").alias("error_message"), F.lit("").alias("updated_at"))
     images = o.select(F.col("o_orderkey").alias("card_id"), F.explode(F.array(F.lit("front"), F.lit("back"))).alias("side"), F.lit("old").alias("ocr_text"), F.lit("old").alias("processed_image_path"), F.lit("").alias("updated_at"))
     side = F.when(F.col("l_linenumber") == 1, "front").when(F.col("l_linenumber") == 2, "back").otherwise("other")
     read = t("lineitem").groupBy(F.col("l_orderkey").alias("card_id"), side.alias("side")).agg(F.max(F.concat_ws("/", "l_returnflag", "l_linestatus")).alias("text"), F.max("l_partkey").alias("ms"))
@@ -362,7 +362,7 @@ _LINES = "(SELECT l_orderkey AS k, max(l_returnflag || '/' || l_linestatus) AS x
 _BOTH = f"orders LEFT JOIN {_LINES.format(1)} f ON f.k = o_orderkey LEFT JOIN {_LINES.format(2)} b ON b.k = o_orderkey"
 
 
-@query(f"SELECT o_orderkey AS id, CASE WHEN f.k IS NULL AND b.k IS NULL THEN o_orderstatus ELSE 'extracting' END AS status, coalesce(f.x, o_orderpriority) AS ocr_text, coalesce(b.x, 'old') AS back_ocr_text, f.ms AS ocr_duration_ms, b.ms AS back_ocr_duration_ms FROM {_BOTH}")
+@query(f"SELECT o_orderkey AS id, CASE WHEN f.k IS NULL AND b.k IS NULL THEN o_orderstatus ELSE 'extracting' END AS status, coalesce(f.x, o_orderpriority) AS ocr_text, coalesce(b.x, 'old') AS back_ocr_text, coalesce(f.ms, -1) AS ocr_duration_ms, coalesce(b.ms, -1) AS back_ocr_duration_ms FROM {_BOTH}")
 def save_ocr_result(spark, t):
     return writes.recognised(*_processed(t), _NOW)["cards"].select("id", "status", "ocr_text", "back_ocr_text", "ocr_duration_ms", "back_ocr_duration_ms")
 

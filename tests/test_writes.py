@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from inkfold.operators import search
 from inkfold.operators import writes as w
 from inkfold.schema import CARD_IMAGES, CARDS, JOBS, LINE_USERS
 from inkfold.sources import models
@@ -103,3 +104,10 @@ def test_texts(spark):
     assert "\n" in got[0].j and [r.j for r in got[1:]] == ["no", None] and [r.t for r in got] == ["2024-01-01 09:00:00", "-", "-"]
     assert w.as_items(df.select("t").limit(1)).first().item == '{"t":"2024-01-01T00:00:00+00:00"}'
     assert tuple(w.with_defaults(df.select("t"), t="d", role="user").collect()[2]) == ("d", "user")
+
+
+def test_replies(spark):
+    df = spark.createDataFrame([("c1", True, "suspended"), ("c2", False, None)], "c string, d boolean, s string")
+    got = df.select(search.accepted_reply(F.col("c"), F.col("d"), "https://x/?a=1").alias("u"), search.accepted_reply(F.col("c"), F.col("d")).alias("v"), search.registration_reply(F.col("s"), "https://x").alias("r"), search.registration_reply(F.col("s")).alias("q")).collect()
+    assert got[0].u.split("\n") == [search.REPLIES["known"], "確認: https://x/?a=1&card=c1"] and got[1].v == f"{search.REPLIES['taken']}\n{search.REPLIES['later']}"
+    assert got[0].r == got[0].q == search.REPLIES["suspended"] and got[1].r.endswith("名刺一覧: https://x") and got[1].q == "利用登録が必要です。管理者に連絡してください。"
