@@ -41,6 +41,8 @@ CONTEXT = {
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "jp", "it", "nl", "eu", "us")
 #: Fewest spans of a kind from which the model is estimated; with fewer, the priors hold.
 LEAST_SPANS = 20
+#: Spans of one text that are appended to one array.
+PAGE = 256
 ROUNDS, PRIOR = 50, 0.5
 
 
@@ -53,7 +55,8 @@ def _nothing() -> Column:
 
 def matches(text: Column, pattern: str, passes: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches that pass, in code points. The text is split at
-    the same matches; a match begins behind all gaps and matches before it."""
+    the same matches; a match begins behind all gaps and matches before it. Spans are gathered in pages of PAGE, as appending
+    to an array copies it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("value")))
 
@@ -61,9 +64,14 @@ def matches(text: Column, pattern: str, passes: Callable[[Column], Column] = lam
         start = a["at"] + p["gap"]
         end = start + F.coalesce(F.char_length(p["value"]), F.lit(0))
         span = F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(p["value"].isNotNull() & passes(p["value"]), F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+        full = F.size(a["page"]) >= PAGE
+        pages = F.when(full, F.concat(a["pages"], F.array(a["page"]))).otherwise(a["pages"])
+        page = F.when(full, _nothing()).otherwise(a["page"])
+        more = F.when(p["value"].isNotNull() & passes(p["value"]), F.concat(page, span)).otherwise(page)
+        return F.struct(end.alias("at"), pages.alias("pages"), more.alias("page"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _nothing().alias("out")), step)["out"]
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("pages"), _nothing().alias("page"))
+    return F.aggregate(pairs, empty, step, lambda a: F.flatten(F.concat(a["pages"], F.array(a["page"]))))
 
 
 def _digits(value: Column) -> Column:
@@ -109,26 +117,41 @@ def _labelers(kind: str, value: Column, before: Column, after: Column) -> dict[s
     return {"shape": vote(shape, ~shape), "strict": vote(strict, ~strict), "gazetteer": vote(gazetteer, ~gazetteer), "context": vote(context), "clash": F.when(clash, 0)}
 
 
+# What a text must hold to have a wider candidate of a kind.
+HINTS = {"email": r"@|(?i)\bat\b", "ip": ":", "card": "[0-9]{4}", "phone": "[0-9]{3}"}
+
+
 def candidates(found: DataFrame) -> DataFrame:
     """(doc_id, text key, kind, start, end, base, features): base spans, and wider ones that overlap no base span. The
-    features are the labelers' votes and the span's shape, as small integers."""
-    rows = None
-    for kind in KINDS:
-        hint = {"email": r"@|(?i)\bat\b", "ip": ":", "card": "[0-9]{4}", "phone": "[0-9]{3}"}[kind]
-        wide = F.when(F.col("text").rlike(hint), matches(F.col("text"), WIDER[kind])).otherwise(_nothing())
-        every = F.flatten(F.array(*[F.col(k) for k in KINDS]))
-        part = found.select("doc_id", "key", "text", F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(True).alias("base"))).alias("mine"), every.alias("every"), wide.alias("wide"))
-        part = part.where((F.size("mine") > 0) | (F.size("wide") > 0))
-        more = F.filter("wide", lambda s: ~F.exists("every", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        more = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("base")))
-        part = part.select("doc_id", "key", "text", F.explode(F.concat("mine", more)).alias("s")).select("doc_id", "key", "text", "s.*")
-        before, after = F.substring(F.col("text"), F.greatest(F.col("start") - 39, F.lit(1)), F.least(F.col("start"), F.lit(40))), F.substring(F.col("text"), F.col("end") + 1, F.lit(20))
-        votes = _labelers(kind, F.col("value"), before, after)
-        shape = F.least(F.floor(F.char_length("value") / 4), F.lit(6)).cast("int")
-        marks = F.least(F.char_length(F.regexp_replace("value", "[0-9A-Za-z]", "")), F.lit(6))
-        part = part.select("doc_id", "key", F.lit(kind).alias("kind"), "start", "end", "base", *[F.coalesce(v, F.lit(-1)).alias(n) for n, v in votes.items()], shape.alias("length"), marks.cast("int").alias("marks"))
-        rows = part if rows is None else rows.union(part)
-    return rows
+    features are the labelers' votes and the span's shape, as small integers. One pass over the texts: the spans of all kinds
+    are one array, exploded once; a span takes along its context, not the text."""
+    text = F.col("text")
+    wide = {k: F.when(text.rlike(HINTS[k]), matches(text, WIDER[k])).otherwise(_nothing()).alias(f"wide_{k}") for k in KINDS}
+    found = found.select("doc_id", "key", "text", *KINDS, F.flatten(F.array(*KINDS)).alias("every"), *wide.values())
+
+    def span(kind: str, base: bool) -> Callable[[Column], Column]:
+        def made(s: Column) -> Column:
+            before = F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
+            after = F.substring(text, s["end"] + 1, F.lit(20))
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(base).alias("base"), before.alias("before"), after.alias("after"))
+
+        return made
+
+    free = lambda s: ~F.exists("every", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    parts = [part for k in KINDS for part in (F.transform(k, span(k, True)), F.transform(F.filter(f"wide_{k}", free), span(k, False)))]
+    # explode_outer: explode would first filter by the size of the array, and so compute every span twice.
+    spans = found.select("doc_id", "key", F.explode_outer(F.concat(*parts)).alias("s")).where(F.col("s").isNotNull()).select("doc_id", "key", "s.*")
+    votes = {k: _labelers(k, F.col("value"), F.col("before"), F.col("after")) for k in KINDS}
+
+    def vote(name: str) -> Column:
+        out = F.lit(None).cast("int")
+        for k in KINDS:
+            out = F.when(F.col("kind") == k, votes[k][name]).otherwise(out)
+        return F.coalesce(out, F.lit(-1)).alias(name)
+
+    shape = F.least(F.floor(F.char_length("value") / 4), F.lit(6)).cast("int")
+    marks = F.least(F.char_length(F.regexp_replace("value", "[0-9A-Za-z]", "")), F.lit(6))
+    return spans.select("doc_id", "key", "kind", "start", "end", "base", *[vote(n) for n in VOTES], shape.alias("length"), marks.cast("int").alias("marks"))
 
 
 VOTES = ("shape", "strict", "gazetteer", "context", "clash")
