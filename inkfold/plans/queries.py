@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, classify, layout, lookup, merge, queue, search, writes
-from ..sources import models
+from ..sources import images, models
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -548,6 +548,139 @@ def truncate(spark, t):
     return t("documents").select("doc_id", T.clipped(F.col("text")).alias("clipped"))
 
 
+# Text fields, names, checks
+
+
+_SPACES = r"[\t-\r \x{85}\p{Z}]+"
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{_SPACES}', '', 'g') AS bare, trim(regexp_replace(text, '{_SPACES}', ' ', 'g')) AS flat FROM documents")
+def without_space(spark, t):
+    return t("documents").select("doc_id", T.without_space(F.col("text")).alias("bare"), T.collapsed(F.col("text")).alias("flat"))
+
+
+_AS_KANA = "translate(lower(source || text), 'abcdefghijklmnopqrstuvwxyz', '" + T.KATAKANA[20:46] + "')"
+
+
+@query(f"SELECT doc_id, translate(k, '{T.KATAKANA}', '{T.HIRAGANA}') AS hiragana, translate(translate(k, '{T.KATAKANA}', '{T.HIRAGANA}'), '{T.HIRAGANA}', '{T.KATAKANA}') AS katakana, regexp_matches(k, '[ぁ-ゖァ-ヶ]') AS kana FROM (SELECT doc_id, {_AS_KANA} AS k FROM documents)")
+def kana_forms(spark, t):
+    """The texts with katakana in the place of Latin letters, in either kana."""
+    read = F.translate(F.lower(F.concat("source", "text")), T.LOWER, T.KATAKANA[20:46])
+    hiragana = T.to_hiragana(F.col("k"))
+    return t("documents").select("doc_id", read.alias("k")).select("doc_id", hiragana.alias("hiragana"), T.to_katakana(hiragana).alias("katakana"), T.has_kana(F.col("k")).alias("kana"))
+
+
+@query(r"SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE event_id % 3 WHEN 0 THEN 'Tel. +81 ' WHEN 1 THEN '81-0' ELSE '(' END || user_id || ') -- ' || event_id || ' ', '[^0-9+-]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), '^\+?81-?0?', '0') AS phone FROM events")
+def phone_numbers(spark, t):
+    lead = F.when(F.col("event_id") % 3 == 0, "Tel. +81 ").when(F.col("event_id") % 3 == 1, "81-0").otherwise("(")
+    raw = F.concat(lead, F.col("user_id").cast("string"), F.lit(") -- "), F.col("event_id").cast("string"), F.lit(" "))
+    return t("events").select("event_id", T.phone(raw).alias("phone"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '株式会社 ' || c_name WHEN 1 THEN c_name || ' 有限会社' ELSE c_name END AS company FROM customer")
+def company_names(spark, t):
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("株式会社"), "c_name")).when(F.col("c_custkey") % 3 == 1, F.concat("c_name", F.lit("  有限会社 "))).otherwise(F.col("c_name"))
+    return t("customer").select("c_custkey", T.company(raw).alias("company"))
+
+
+@query("SELECT c_custkey, '三番町' || (c_nationkey + 1) || '丁目' || c_custkey || '番地' AS address FROM customer")
+def addresses(spark, t):
+    kanji = lambda c: F.translate(c.cast("string"), "0123456789", "〇一二三四五六七八九")
+    raw = F.concat(F.lit("三番町"), kanji(F.col("c_nationkey") + 1), F.lit("丁目"), kanji(F.col("c_custkey")), F.lit("番地"))
+    return t("customer").select("c_custkey", T.address(raw).alias("address"))
+
+
+@query("SELECT c_custkey AS line_user_id, c_name AS display_name, 'p/' || c_custkey AS picture_url, lower(c_mktsegment) AS status, CASE WHEN c_nationkey = 0 THEN 'admin' ELSE 'user' END AS role FROM customer")
+def public_users(spark, t):
+    role = F.when(F.col("c_nationkey") == 0, "admin").otherwise("user")
+    users = t("customer").select(F.col("c_custkey").alias("line_user_id"), F.col("c_name").alias("display_name"), F.concat(F.lit("p/"), F.col("c_custkey").cast("string")).alias("picture_url"), F.lower("c_mktsegment").alias("status"), role.alias("role"), F.col("c_acctbal").alias("secret"))
+    return catalog.public_user(users)
+
+
+@query("SELECT o_orderkey AS id, coalesce(nullif(CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END, ''), CASE WHEN o_orderkey % 4 > 0 THEN 'company ' || o_custkey END, '-') AS name, coalesce(CASE WHEN o_orderkey % 4 > 0 THEN 'company ' || o_custkey END, '-') AS company, o_orderstatus AS status FROM orders")
+def list_labels(spark, t):
+    company = F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("company "), F.col("o_custkey").cast("string")))
+    person = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderpriority"))
+    return catalog.labels(t("orders").select(F.col("o_orderkey").alias("id"), person.alias("person_name"), company.alias("company_name"), F.col("o_orderstatus").alias("status")))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 't/' || o_orderkey WHEN o_orderkey % 4 > 0 THEN 'p/' || o_custkey ELSE 'o/' || o_orderkey END AS path FROM orders")
+def image_paths(spark, t):
+    path = lambda lead, c: F.concat(F.lit(lead), F.col(c).cast("string"))
+    cards = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", path("t/", "o_orderkey")).otherwise("").alias("thumbnail_path"), F.when(F.col("o_orderkey") % 4 > 0, path("p/", "o_custkey")).alias("processed_image_path"), path("o/", "o_orderkey").alias("original_image_path"))
+    return cards.select("id", catalog.image_path("thumbnail").alias("path"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag <> 'R' AND l_linestatus = 'O' AND l_linenumber % 3 < 2 AS valid FROM lineitem")
+def valid_requests(spark, t):
+    way = F.when(F.col("l_returnflag") == "A", "auto").when(F.col("l_returnflag") == "N", "vertical")
+    side = F.when(F.col("l_linestatus") == "O", "back").otherwise("top")
+    turn = F.when(F.col("l_linenumber") % 3 == 0, -90).when(F.col("l_linenumber") % 3 == 1, 90).otherwise(45)
+    return t("lineitem").select("l_orderkey", "l_linenumber", writes.valid_request(way, side, turn).alias("valid"))
+
+
+@query("SELECT event_id, event_type <> 'click' AND event_id % 4 < 2 AS inside FROM events")
+def contained_paths(spark, t):
+    root = F.when(F.col("event_type") == "click", "/").otherwise("")
+    rest = F.when(F.col("event_id") % 4 == 0, "a/../b").when(F.col("event_id") % 4 == 1, "./a/b/../../c").when(F.col("event_id") % 4 == 2, "../a").otherwise("a/../../a/b")
+    return t("events").select("event_id", writes.contained(F.concat(root, rest)).alias("inside"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '-' ELSE strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') END AS shown FROM events")
+def local_dates(spark, t):
+    iso = F.when(F.col("event_id") % 3 > 0, T.iso_seconds(F.col("ts"))).otherwise("")
+    return t("events").select("event_id", writes.local_date(iso, "Asia/Tokyo").alias("shown"))
+
+
+@query("""SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS item FROM events""")
+def json_items(spark, t):
+    return writes.as_items(t("events").select("event_id", "event_type"))
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '{search.REPLIES['suspended']}' ELSE '{search.REPLIES['register']}{search.REPLIES['ask']}' END AS reply FROM customer")
+def registration_replies(spark, t):
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "suspended").when(F.col("c_mktsegment") == "MACHINERY", "pending")
+    return t("customer").select("c_custkey", search.registration_reply(status).alias("reply"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' OR o_orderstatus = 'O' THEN 0 WHEN o_orderkey % 7 > 0 AND (o_orderkey % 2 = 1 OR o_orderkey % 7 >= o_custkey % 5) THEN -90 WHEN o_orderkey % 2 = 0 AND o_custkey % 5 > 0 THEN 90 ELSE 0 END AS degrees FROM orders")
+def rotation_chosen(spark, t):
+    """Turning left reads as horizontal for all, turning right for even keys."""
+    attempt = lambda degrees, way, score: F.struct(F.lit(degrees).alias("degrees"), way.alias("direction"), score.cast("double").alias("score"))
+    right = F.when(F.col("o_orderkey") % 2 == 0, "horizontal").otherwise("vertical")
+    tries = F.array(attempt(-90, F.lit("horizontal"), F.col("o_orderkey") % 7), attempt(90, right, F.col("o_custkey") % 5))
+    asked = F.when(F.col("o_orderpriority") == "5-LOW", "vertical").otherwise("auto")
+    return t("orders").select(F.col("o_orderkey").alias("id"), writes.chosen_rotation(asked, F.lit("vertical"), F.col("o_orderstatus") != "O", tries).alias("degrees"))
+
+
+@query("SELECT doc_id, CASE WHEN n < greatest(20, n0 * CAST(0.65 AS DOUBLE)) OR h < greatest(3, v) THEN 0 ELSE h - v + n / 20 END AS score FROM (SELECT doc_id, CAST(length(replace(text, chr(10), '')) AS DOUBLE) AS n, CAST(length(replace(text || source, chr(10), '')) AS DOUBLE) AS n0, n_chars % 7 AS h, n_chars % 3 AS v FROM documents)")
+def rotation_scores(spark, t):
+    h, v = F.col("n_chars") % 7, F.col("n_chars") % 3
+    return t("documents").select("doc_id", layout.rotation_score(F.col("text"), h, v, F.concat("text", "source"), v).alias("score"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(l, lambda x: trim(x) <> ''), lambda x: CASE WHEN least(length(x), 60) >= big AND big > 0 THEN '【大文字】' ELSE '' END || trim(x)), chr(10)) AS marked, trim(array_to_string(l, chr(10))) AS plain FROM (SELECT doc_id, l, list_sort(list_transform(l, lambda x: least(length(x), 60)))[CAST(floor(len(l) * CAST(0.8 AS DOUBLE)) AS INTEGER) + 1] AS big FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def marked_lines(spark, t):
+    """The lines of a text as blocks, whose size is their length up to 60."""
+    blocks = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.least(F.char_length(x), F.lit(60)).cast("double").alias("font_size")))
+    rows = t("documents").select("doc_id", blocks.alias("blocks"))
+    return rows.select("doc_id", layout.marked_text(F.col("blocks")).alias("marked"), layout.block_text(F.col("blocks")).alias("plain"))
+
+
+@query("SELECT p_partkey, p_retailprice > p_size * CAST(50 AS DOUBLE) * CAST(1.15 AS DOUBLE) AS portrait, CASE WHEN p_size % 2 = 0 THEN 'back_' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN 'original.png' ELSE 'original.jpg' END AS name FROM part")
+def portrait_files(spark, t):
+    side = F.when(F.col("p_size") % 2 == 0, "back").otherwise("front")
+    kind = F.when(F.col("p_size") % 3 == 0, "png").otherwise("jpg")
+    return t("part").select("p_partkey", layout.is_portrait(F.col("p_size") * 50, F.col("p_retailprice")).alias("portrait"), images.stored_name(side, kind).alias("name"))
+
+
+@query("SELECT vec_id, arg_min(k, x + y) || ',' || arg_min(k, y - x) || ',' || arg_max(k, x + y) || ',' || arg_max(k, y - x) AS corners FROM (SELECT vec_id, k, CAST(embedding[2 * k + 1] AS DOUBLE) AS x, CAST(embedding[2 * k + 2] AS DOUBLE) AS y FROM embeddings, generate_series(0, 3) AS g(k)) GROUP BY vec_id")
+def corner_order(spark, t):
+    point = lambda k: F.struct(F.lit(k).alias("k"), F.get("embedding", 2 * k).cast("double").alias("x"), F.get("embedding", 2 * k + 1).cast("double").alias("y"))
+    rows = t("embeddings").select("vec_id", F.array(*[point(k) for k in range(4)]).alias("points"))
+    return rows.select("vec_id", F.array_join(F.transform(layout.corners(F.col("points")), lambda p: p["k"].cast("string")), ",").alias("corners"))
+
+
 # Beyond SQL: golden values and brute force in the tests
 
 
