@@ -22,6 +22,8 @@ BANDS, ROWS = 8, 4
 BINS = BANDS * ROWS
 #: Lines and bytes of a cell, about, where lines of several components share a bucket.
 CELL_LINES, CELL_BYTES = 256, 500_000
+#: Pairs of lines of a cell that are compared one by one, which is then faster than a matrix product; the links are the same.
+FEW_PAIRS = 16
 #: Characters hashed at once; longer lines are hashed in pieces and compared by residues.
 PIECE = 1_000_000
 #: Words of the fixed-size Bloom filters (2 MB) that keep lines without any candidate out of shuffles.
@@ -65,9 +67,17 @@ def _pieces(line: bytes) -> Iterator[np.ndarray]:
         yield _hashed([p[at : at + PIECE + SHINGLE - 1] for p in planes])
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted; sorting short arrays in place is faster than np.unique."""
+    values.sort()
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def shingles(line: bytes) -> np.ndarray:
     """Distinct hashes of the line's shingles, sorted."""
-    return np.unique(_hashed(_planes(line)))
+    return _distinct(_hashed(_planes(line)))
 
 
 def _shared(p: np.ndarray, q: np.ndarray) -> int:
@@ -81,7 +91,7 @@ def similar(x: bytes, y: bytes) -> bool:
     turns = 1 + (len(x) + len(y)) // (2 * PIECE)
     both = every = 0
     for r in range(turns):
-        p, q = (np.unique(np.concatenate([h[h % np.uint64(turns) == r] for h in _pieces(line)])) for line in (x, y))
+        p, q = (_distinct(np.concatenate([h[h % np.uint64(turns) == r] for h in _pieces(line)])) for line in (x, y))
         both += _shared(p, q) if len(p) and len(q) else 0
         every += len(p) + len(q)
     return both >= SIMILARITY * (every - both)
@@ -233,15 +243,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_parts(lines: list[bytes], parts: np.ndarray, left: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs of parts of which a line of `left` and another line are similar. What two lines share is counted exactly, by a
-    product of 0/1 matrices over the shingles of the left lines, some columns at a time."""
+    """Pairs of parts of which a line of `left` and another line are similar. What two lines share is counted exactly: pair by
+    pair in a small cell, else by a product of 0/1 matrices over the shingles of the left lines, some columns at a time."""
     if not left.any():
         return set()
     if max(map(len, lines)) > PIECE:
         return {(int(parts[i]), int(parts[j])) for i in np.nonzero(left)[0] for j in range(len(lines)) if parts[i] != parts[j] and similar(lines[i], lines[j])}
     sets = [shingles(x) for x in lines]
+    if left.sum() * len(lines) <= FEW_PAIRS:
+        near = lambda p, q: min(len(p), len(q)) >= SIMILARITY * max(len(p), len(q)) and (n := _shared(p, q)) >= SIMILARITY * (len(p) + len(q) - n)
+        return {(int(parts[i]), int(parts[j])) for i in np.nonzero(left)[0] for j in range(len(sets)) if parts[i] != parts[j] and near(sets[i], sets[j])}
     sizes = np.array([len(s) for s in sets])
-    wanted = np.unique(np.concatenate([s for s, l in zip(sets, left, strict=True) if l]))
+    wanted = _distinct(np.concatenate([s for s, l in zip(sets, left, strict=True) if l]))
     every = np.concatenate(sets)
     column = np.minimum(np.searchsorted(wanted, every), len(wanted) - 1)
     some = wanted[column] == every

@@ -116,3 +116,16 @@ def test_clashing_columns(spark):
     got = L.dedup_lines(spark.createDataFrame([(1, line, "a", "b", "c", "d", "e"), (2, line, "a", "b", "c", "d", "e")], kind))
     assert {(r.doc_id, r.text, r.drops, r["_id"], r.n_dropped) for r in got.collect()} == {(1, line, "a", "b", 0), (2, "", "a", "b", 1)}
     assert L.without_repeated_lines(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_small_and_large_cells_give_the_same_links(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefg ") for _ in range(120))
+        lines = [(base[: rng.randint(60, 120)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 12)))).encode() for _ in range(rng.randint(1, 5))]
+        parts, left = np.array([rng.randint(1, 3) for _ in lines]), np.array([rng.random() < 0.6 for _ in lines])
+        found = []
+        for few in (0, 1000):
+            monkeypatch.setattr(L, "FEW_PAIRS", few)
+            found.append(L.linked_parts(lines, parts, left))
+        assert found[0] == found[1]
