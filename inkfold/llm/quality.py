@@ -118,8 +118,9 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dic
 
 
 def scores(p: dict[str, np.ndarray], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Score of each text, 0 to 1. The softmax over a text's passages is summed up group by group."""
-    n = len(offsets) - 1
+    """Score of each text, 0 to 1, to six digits in double precision, so that it does not depend on the texts beside it. The
+    softmax over a text's passages is summed up group by group."""
+    p, n = {k: np.asarray(v, np.float64) for k, v in p.items()}, len(offsets) - 1
     top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
     for x, of in passages(raw, offsets):
         s = _hidden(p, x)
@@ -130,7 +131,7 @@ def scores(p: dict[str, np.ndarray], raw: np.ndarray, offsets: np.ndarray) -> np
         total, z, top = total * ease, z * ease[:, None], most
         np.add.at(total, of, a)
         np.add.at(z, of, a[:, None] * s["h"])
-    return _sigmoid(z / np.maximum(total, 1e-300)[:, None] @ p["c"] + p["d"])
+    return np.round(_sigmoid(z / np.maximum(total, 1e-300)[:, None] @ p["c"] + p["d"]), 6)
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
