@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .decontaminate import OP1_SQL, op1_decontamination
+from .divergence import OP11_SQL, op11_divergence
 from .embeddings import op6_embeddings
 from .html import op5_html
 from .linededup import op7_line_dedup
@@ -13,6 +15,6 @@ from .quality import op2_quality
 from .simhash import op3_simhash
 from .toxicity import op8_toxicity
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_lm": op4_lm, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_pii": op10_pii}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_simhash": op3_simhash, "op4_lm": op4_lm, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_pii": op10_pii, "op11_divergence": op11_divergence, "op12_alignment": op12_alignment}
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op11_divergence": OP11_SQL}
