@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, classify, layout, lookup, merge, queue, search, writes
-from ..sources import images, models
+from ..operators.commits import Tables
+from ..sources import images, models, settings
+from ..sources.files import FileSink
+from ..streaming.uploads import receive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -724,3 +727,48 @@ def stream_route(spark, t):
     users = t("customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_mktsegment") == "BUILDING", "active").otherwise("pending").alias("state"))
     kind = F.when(F.col("event_type") == "click", "message").otherwise("other")
     return _streamed(spark, t("events").select("event_id", "user_id", "event_type"), lambda s: s.join(users, "user_id", "left").select("event_id", queue.route(kind, F.col("state"), F.lit("image"), F.lit("")).alias("status")))
+
+
+# Commits over several tables, file sink, uploads
+
+_CREATED = "SELECT 'cards' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id AS card_id, 'queued' AS status, sha256(text) AS sha256 FROM documents UNION ALL SELECT 'card_images', concat(doc_id, ':front'), doc_id, lang, sha256(text) FROM documents UNION ALL SELECT 'jobs', concat('job', doc_id), doc_id, 'queued', NULL FROM documents"
+
+
+@query(_CREATED)
+def committed_cards(spark, t):
+    """Cards, images and jobs of each language in a commit of its own, read from the last version."""
+    new = lookup.hashed(t("documents"), "text").select(F.col("doc_id").alias("card_id"), F.concat(F.lit("in/"), F.col("doc_id").cast("string")).alias("path"), "sha256", F.col("lang").alias("direction"), F.concat(F.lit("job"), F.col("doc_id").cast("string")).alias("job_id"))
+    tables = Tables(spark, _shared(spark, "tables"))
+    late = F.coalesce(F.col("direction").isin("de", "fr"), F.lit(False))
+    for some in (new.where(late), new.where(~late)):
+        tables.transact(lambda c, some=some: [c.append(name, rows) for name, rows in writes.new_cards(some, _NOW).items()])
+    out = {name: tables.read(name) for name in ("cards", "card_images", "jobs")}
+    kinds = [out["cards"].select(F.lit("cards").alias("kind"), F.col("id").cast("string").alias("id"), F.col("id").alias("card_id"), "status", F.col("original_sha256").alias("sha256"))]
+    kinds.append(out["card_images"].select(F.lit("card_images"), "id", "card_id", "ocr_direction", "original_sha256"))
+    kinds.append(out["jobs"].select(F.lit("jobs"), "id", "card_id", "status", F.lit(None).cast("string")))
+    return kinds[0].union(kinds[1]).union(kinds[2])
+
+
+def _image_files(spark: SparkSession, docs: DataFrame) -> str:
+    """A folder with a file for each document: its text behind the first bytes of a PNG; of German ones the text alone."""
+    folder = _shared(spark, "files")
+    head = F.when(F.col("lang") == "de", F.lit("")).otherwise(images.MAGIC["png"])
+    spark.dataSource.register(FileSink)
+    name = F.format_string("%s/%012d.png", F.coalesce("lang", F.lit("none")), F.col("doc_id"))
+    docs.select(name.alias("name"), F.unhex(F.concat(head, F.hex(F.coalesce("text", F.lit("")).cast("binary")))).alias("content")).write.format("file_sink").mode("append").save(folder)
+    return folder
+
+
+@query("SELECT printf('%012d.png', doc_id) AS name, sha256(CASE WHEN lang = 'de' THEN ''::BLOB ELSE from_hex('89504E470D0A1A0A') END || encode(coalesce(text, ''))) AS sha256, strlen(coalesce(text, '')) + CASE WHEN lang = 'de' THEN 0 ELSE 8 END AS length FROM documents")
+def file_sink(spark, t):
+    """Every document as a file, read again."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_image_files(spark, t("documents")))
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+
+
+@query("SELECT printf('%012d.png', doc_id) AS name, CASE WHEN lang = 'de' THEN 'no image' WHEN row_number() OVER (PARTITION BY text, lang = 'de' ORDER BY lang, doc_id) = 1 THEN 'queued' ELSE 'duplicate' END AS outcome, CASE WHEN lang <> 'de' THEN substr(sha256(from_hex('89504E470D0A1A0A') || encode(text)), 1, 32) END AS card_id FROM documents")
+def stream_uploads(spark, t):
+    """Every document uploaded as a file: a stream of commits makes cards of the new contents."""
+    tables, checkpoint = Tables(spark, _shared(spark, "tables")), _shared(spark, "checkpoint")
+    receive(spark, _image_files(spark, t("documents")), tables, checkpoint, lambda: _NOW, settings.load({}), files_a_batch=1_000_000).awaitTermination()
+    return tables.read("uploads").select(F.substring_index("path", "/", -1).alias("name"), "outcome", "card_id")
