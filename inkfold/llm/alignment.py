@@ -153,6 +153,15 @@ def spread(at: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(at[picked], sizes)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """32-bit numbers, compressed; nothing for none."""
+    return pack(x) if len(x) else b""
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return unpack(raw, np.uint32) if raw else np.zeros(0, np.uint32)
+
+
 _LISTS = "pairs array<long>, docs array<int>"
 
 
@@ -187,7 +196,7 @@ def _chunks(a: str, b: bytes, kind: pa.DataType):
                 texts = units.text
                 digests = [hashlib.sha256(";".join([texts[k] for k in u.tolist()]).encode()).hexdigest() if len(u) else "" for u in used]
                 none: list = [None] * len(used)
-                columns = [batch.column("doc_id").to_pylist(), *[x.tolist() for x in sums], digests, [pack(np.diff(p, prepend=np.uint32(0))) for p, _ in parts], [pack(t) for _, t in parts], none, none]
+                columns = [batch.column("doc_id").to_pylist(), *[x.tolist() for x in sums], digests, [packed(np.diff(p, prepend=np.uint32(0))) for p, _ in parts], [packed(t) for _, t in parts], none, none]
                 chunk, end = uuid.uuid4().int >> 65, [None] * 8 + [units.pairs[held], counted]
                 rows = [[chunk] * (len(used) + 1), *[[*c, e] for c, e in zip(columns, end, strict=True)]]
                 yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, form, strict=True)], schema=form)
@@ -212,7 +221,7 @@ def _answered(kind: pa.DataType):
                     count, best = (got.field(n).to_numpy()[order] for n in ("count", "best"))
                     continue
                 n_a, n_b, n_groups, n_links, doc, text, held, times = (c[k].as_py() for c in columns)
-                at, times = np.cumsum(unpack(held, np.uint32)), unpack(times, np.uint32).astype(np.int64)
+                at, times = np.cumsum(unpacked(held)), unpacked(times).astype(np.int64)
                 if len(at) and of != chunk:
                     raise ValueError("a document came before the counts of its chunk")
                 rows.append((doc, n_a, n_b, n_groups, n_links, int(times @ best[at]), int(times @ count[at]), text))

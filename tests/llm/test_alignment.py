@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against a plain walk over both token lists, and its parts against plain versions."""
 
+import bisect
 import hashlib
 from collections import Counter, defaultdict
 
@@ -35,10 +36,11 @@ def brute(texts):
                     met.append((i, at_b[j][2]))
                 j += 1
         cuts = sorted({e for _, e, _ in at_a} & {e for _, e, _ in at_b})
-        groups, low = [], 0
-        for c in cuts:
-            groups.append("|".join(",".join(str(i) for s, e, i in side if low < e <= c) for side in (at_a, at_b)))
-            low = c
+        held = [([], []) for _ in cuts]
+        for k, side in enumerate((at_a, at_b)):
+            for _, e, i in side:
+                held[bisect.bisect_left(cuts, e)][k].append(str(i))
+        groups = ["|".join(",".join(side) for side in g) for g in held]
         rows.append((len(a), len(b), len(groups), hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
         links.append(met)
         count.update(set(met))
@@ -62,8 +64,8 @@ def test_edge_cases(spark):
     rows = [(None, "some text", 1, 1, 1), (None, None, 1, 1, 1), ("x", "some text", 2, 2, 2), ("x", "some text", 2, 2, 2)]
     got = M.aligned(spark.createDataFrame(rows, form))
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    found = sorted(map(tuple, got.collect()), key=str)
-    assert [r[0] for r in found] == [None, None, "x", "x"] and found[2] == found[3]
+    found = sorted(map(tuple, got.collect()), key=lambda r: (r[0] is not None, r[1]))
+    assert [r[0] for r in found] == [None, None, "x", "x"] and found[2] == found[3] and found[0][1:] == (0, 0, 0, 0, 0, 0, "")
     assert found[2][6] == 3 * found[2][4]  # each link is in three documents
     assert M.aligned(spark.createDataFrame([], form)).collect() == []
 
