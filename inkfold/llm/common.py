@@ -93,14 +93,14 @@ def slices(batch: pa.RecordBatch, at: str, most: int = 8_000_000) -> Iterator[pa
 
 
 def with_columns(batch: pa.RecordBatch, **new: pa.Array) -> pa.RecordBatch:
-    """Add columns to a batch; one of the same name is replaced."""
-    names = [n for n in batch.schema.names if n not in new]
+    """Add columns to a batch; one of the same name, in any case, is replaced."""
+    names = [n for n in batch.schema.names if n.lower() not in new]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(new.values()), names=names + list(new))
 
 
 def extended(df: DataFrame, **new: str) -> str:
     """The DDL schema of with_columns() over the rows of df."""
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new] + [f"`{n}` {t}" for n, t in new.items()])
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name.lower() not in new] + [f"`{n}` {t}" for n, t in new.items()])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:

@@ -332,14 +332,18 @@ def classes(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
 
 
 def _drops(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, doc_key, drops array): the lines to drop of each document that has any. The first line of a class, by doc_id
+    """(doc_id, doc_key, n, marks): of each document that has lines to drop, their number, and a byte for each line up to the
+    last of them, `1` where it goes: so that a line is looked up in constant time. The first line of a class, by doc_id
     (null last), then text hash and number, stays."""
     lines, named = classes(docs, least)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc_key", "line_no")
     met = save(lines.join(named, "key").select("class", place.alias("place")))
     keep = save(met.groupBy("class").agg(F.min("place").alias("keep")))  # a plain exchange, so that Spark can split a hot class
     gone = met.join(keep, "class").where(~F.col("place").eqNullSafe(F.col("keep"))).select("place.doc_id", "place.doc_key", "place.line_no")
-    out = save(gone.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("drops")))
+    listed = gone.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("line_no")).alias("drops"))
+    before = F.concat(F.array(F.lit(-1).cast(gone.schema["line_no"].dataType)), F.slice("drops", 1, F.size("drops") - 1))
+    marks = F.array_join(F.zip_with("drops", before, lambda d, b: F.concat(F.repeat(F.lit("0"), (d - b - 1).cast("int")), F.lit("1"))), "").cast("binary")
+    out = save(listed.select("doc_id", "doc_key", F.size("drops").alias("n"), marks.alias("marks")))
     for done in (lines, named, met, keep):
         drop_saved(done)
     return out
@@ -352,14 +356,14 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     than `least` characters (8 at least, one shingle) stay. A null text stays null, an empty one empty; a document may end
     up empty but its row stays. Repeated rows of one id and text count as one document and get the same text; of equal lines
     the first by doc_id stays. Lines of any length are compared whole. A column n_lines or n_dropped is replaced."""
-    theirs, ours, of, drops = fresh(docs, "id", "key", "of", "drops")
-    found = _drops(docs, least).toDF(theirs, ours, drops)
+    theirs, ours, of, n, marks = fresh(docs, "id", "key", "of", "n", "marks")
+    found = _drops(docs, least).toDF(theirs, ours, n, marks)
     base = docs.drop("n_lines", "n_dropped").withColumn(of, _key(F.col("text")))
     met = base.join(found, F.col("doc_id").eqNullSafe(F.col(theirs)) & (F.col(of) == F.col(ours)), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(drops, i)), "\n")
-    whole = F.col(drops).isNull()
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.substring(marks, i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+    whole = F.col(n).isNull()
     columns = [F.when(whole, F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns if c != of]
-    return met.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.when(whole, 0).otherwise(F.size(drops)).cast("long").alias("n_dropped"))
+    return met.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.when(whole, 0).otherwise(F.col(n)).cast("long").alias("n_dropped"))
 
 
 def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:

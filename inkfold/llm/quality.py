@@ -194,7 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     (mark,) = fresh(docs, "mark")
     given = docs.withColumnRenamed("score", mark)
     kept = scored(given, fit(docs, labels)).where(F.col("score") >= threshold)
-    return kept.select(*[F.col(f"`{mark}`").alias("score") if c == "score" else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col(f"`{mark}`").alias(c) if c.lower() == "score" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

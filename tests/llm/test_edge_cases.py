@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,26 @@ def test_other_operators_ignore_clashing_columns(spark, docs):
     assert pii.personal_data(docs).count() == 9
     kind = "vec_id long, embedding array<float>, label int, node long, vector string, key string"
     assert embeddings.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0], 1, 5, "v", "k")], kind)).first().kept
+
+
+def test_columns_that_clash_in_another_case_stay(spark):
+    docs = spark.createDataFrame([(k, "a plain text of several words " * 3, 5.0, [1], True) for k in range(6)], "doc_id long, text string, Score double, Ids array<int>, Round_Trip boolean")
+    marks = spark.createDataFrame([(k, k % 2, 0) for k in range(6)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, marks, threshold=0.0)
+    assert kept.columns == docs.columns and [r.Score for r in kept.collect()] == [5.0] * 6
+    coded = pieces.encode(docs)
+    assert coded.columns == ["doc_id", "text", "Score", "ids", "n_tokens", "round_trip"] and len(coded.select("ids").first()[0]) > 3
+    scored = quality.scored(docs, quality.fit(docs, marks))
+    assert scored.columns == ["doc_id", "text", "Ids", "Round_Trip", "score"] and scored.select("score").count() == 6
+
+
+def test_many_equal_lines_of_one_text_take_linear_time(spark):
+    line = "the very same line of a text again and again"
+    took = []
+    for n in (20_000, 40_000):
+        df = spark.createDataFrame([(1, "\n".join([line] * n) + "\nshort"), (2, line)], "doc_id long, text string")
+        start = time.time()
+        found = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+        took.append(time.time() - start)
+        assert found[1].text == line + "\nshort" and (found[1].n_lines, found[1].n_dropped) == (n + 1, n - 1) and found[2].text == ""
+    assert took[1] < 3 * took[0] + 5

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkfold.llm import secrets as M
 
 PLAIN = [
-    ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+    ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
     ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
 ]
