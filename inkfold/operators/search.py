@@ -68,6 +68,16 @@ def top_with_rest(found: DataFrame, order: list[Column], n: int = 5) -> DataFram
     return ranked.crossJoin(F.broadcast(total)).withColumn("remaining", F.greatest(F.col("total") - n, F.lit(0)))
 
 
+def result_line(person: Column, company: Column, tags: Column, card: Column, app_url: str = "") -> Column:
+    """A found card in a reply: its name, the company if that is not the name, its tags, and where to see it."""
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    name = first_filled(person, company, "-")
+    beside = F.when(filled(person).isNotNull(), filled(company))
+    parts = [F.concat_ws(" / ", name, beside), F.concat(F.lit("["), filled(tags), F.lit("]"))]
+    link = [with_query(F.lit(app_url), F.concat(F.lit("card="), card.cast("string")))] if app_url else []
+    return F.concat_ws(" ", *parts, *link)
+
+
 def display_name(person: Column, company: Column, otherwise: str = "-") -> Column:
     return first_filled(person, company, otherwise)
 
@@ -81,26 +91,25 @@ def reply_text(top: DataFrame, name: str, lead: str = "{total} found") -> DataFr
     return lines.select(F.array_join(F.concat(head, body, tail), "\n").alias("reply"))
 
 
-# The texts of replies.
+# The texts of replies, in this engine's own words; a caller may pass others.
 REPLIES = {
-    "taken": "名刺画像を受け付けました。",
-    "known": "すでに登録済みの名刺でした。",
-    "see": "確認: ",
-    "later": "管理画面で処理結果を確認してください。",
-    "suspended": "このLINEアカウントは利用停止中です。",
-    "register": "利用登録が必要です。",
-    "register_at": "登録または名刺一覧: ",
-    "ask": "管理者に連絡してください。",
+    "taken": "The image has been received.",
+    "known": "This card is already in the catalogue.",
+    "see": "Open it: {url}",
+    "later": "Results appear in the catalogue when they are ready.",
+    "suspended": "This account is suspended.",
+    "register": "Please register to use the catalogue. The administrator can help.",
+    "register_at": "Please register to use the catalogue: {url}",
 }
 
 
-def accepted_reply(card: Column, duplicate: Column, app_url: str = "") -> Column:
+def accepted_reply(card: Column, duplicate: Column, app_url: str = "", replies: dict[str, str] = REPLIES) -> Column:
     """Answer to an image: whether its card is new or known, and where to see it."""
-    where = F.concat(F.lit(REPLIES["see"]), with_query(F.lit(app_url), F.concat(F.lit("card="), card))) if app_url else F.lit(REPLIES["later"])
-    return F.concat_ws("\n", F.when(duplicate, REPLIES["known"]).otherwise(REPLIES["taken"]), where)
+    where = F.replace(F.lit(replies["see"]), F.lit("{url}"), with_query(F.lit(app_url), F.concat(F.lit("card="), card))) if app_url else F.lit(replies["later"])
+    return F.concat_ws("\n", F.when(duplicate, replies["known"]).otherwise(replies["taken"]), where)
 
 
-def registration_reply(status: Column, app_url: str = "") -> Column:
+def registration_reply(status: Column, app_url: str = "", replies: dict[str, str] = REPLIES) -> Column:
     """Answer to a user who may not use the catalogue, by their status (null: unknown)."""
-    ask = f"{REPLIES['register']}\n{REPLIES['register_at']}{app_url}" if app_url else REPLIES["register"] + REPLIES["ask"]
-    return F.when(F.coalesce(status, F.lit("")) == "suspended", REPLIES["suspended"]).otherwise(ask)
+    ask = replies["register_at"].replace("{url}", app_url) if app_url else replies["register"]
+    return F.when(F.coalesce(status, F.lit("")) == "suspended", replies["suspended"]).otherwise(ask)

@@ -640,7 +640,7 @@ def json_items(spark, t):
     return writes.as_items(t("events").select("event_id", "event_type"))
 
 
-@query(f"SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '{search.REPLIES['suspended']}' ELSE '{search.REPLIES['register']}{search.REPLIES['ask']}' END AS reply FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'This account is suspended.' ELSE 'Please register to use the catalogue. The administrator can help.' END AS reply FROM customer")
 def registration_replies(spark, t):
     status = F.when(F.col("c_mktsegment") == "BUILDING", "suspended").when(F.col("c_mktsegment") == "MACHINERY", "pending")
     return t("customer").select("c_custkey", search.registration_reply(status).alias("reply"))
@@ -772,3 +772,9 @@ def stream_uploads(spark, t):
     tables, checkpoint = Tables(spark, _shared(spark, "tables")), _shared(spark, "checkpoint")
     receive(spark, _image_files(spark, t("documents")), tables, checkpoint, lambda: _NOW, settings.load({}), files_a_batch=1_000_000).awaitTermination()
     return tables.read("uploads").select(F.substring_index("path", "/", -1).alias("name"), "outcome", "card_id")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE concat(c_name, ' / ', c_mktsegment) END || CASE WHEN c_acctbal < 0 THEN '' ELSE concat(' [', c_nationkey, ']') END || concat(' https://x/?a=1&card=', c_custkey) AS line FROM customer")
+def result_lines(spark, t):
+    person, tags = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_name")), F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey").cast("string"))
+    return t("customer").select("c_custkey", search.result_line(person, F.col("c_mktsegment"), tags, F.col("c_custkey"), "https://x/?a=1").alias("line"))

@@ -109,5 +109,5 @@ def test_texts(spark):
 def test_replies(spark):
     df = spark.createDataFrame([("c1", True, "suspended"), ("c2", False, None)], "c string, d boolean, s string")
     got = df.select(search.accepted_reply(F.col("c"), F.col("d"), "https://x/?a=1").alias("u"), search.accepted_reply(F.col("c"), F.col("d")).alias("v"), search.registration_reply(F.col("s"), "https://x").alias("r"), search.registration_reply(F.col("s")).alias("q")).collect()
-    assert got[0].u.split("\n") == [search.REPLIES["known"], "確認: https://x/?a=1&card=c1"] and got[1].v == f"{search.REPLIES['taken']}\n{search.REPLIES['later']}"
-    assert got[0].r == got[0].q == search.REPLIES["suspended"] and got[1].r.endswith("名刺一覧: https://x") and got[1].q == "利用登録が必要です。管理者に連絡してください。"
+    assert got[0].u.split("\n") == [search.REPLIES["known"], "Open it: https://x/?a=1&card=c1"] and got[1].v == f"{search.REPLIES['taken']}\n{search.REPLIES['later']}"
+    assert got[0].r == got[0].q == search.REPLIES["suspended"] and got[1].r.endswith("catalogue: https://x") and got[1].q.endswith("The administrator can help.")
