@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, classify, layout, lookup, merge, queue, search, writes
+from ..operators import catalog, classify, layout, lookup, merge, pixels, queue, search, writes
 from ..operators.commits import Tables
 from ..sources import images, models, settings
 from ..sources.files import FileSink
+from ..streaming.sessions import intervals, last_states, state_store
 from ..streaming.uploads import receive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -778,3 +779,53 @@ def stream_uploads(spark, t):
 def result_lines(spark, t):
     person, tags = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_name")), F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey").cast("string"))
     return t("customer").select("c_custkey", search.result_line(person, F.col("c_mktsegment"), tags, F.col("c_custkey"), "https://x/?a=1").alias("line"))
+
+
+@query("WITH RECURSIVE s AS (SELECT user_id, min(ts) AS opened FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id UNION ALL SELECT s.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.opened + INTERVAL 12 HOUR GROUP BY s.user_id) SELECT CAST(s.user_id AS VARCHAR) AS key, strftime(s.opened, '%Y-%m-%d %H:%M:%S.%f') AS opened, strftime(s.opened + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS ends, count(*) AS n FROM s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.opened AND e.ts < s.opened + INTERVAL 12 HOUR GROUP BY ALL")
+def stream_sessions(spark, t):
+    """Sessions of 12 hours that do not slide, as state of a stream of all events."""
+    root, tables = _shared(spark, "stream"), Tables(spark, _shared(spark, "tables"))
+    events = t("events").select("user_id", "ts")
+    events.write.parquet(f"{root}/in")
+    with state_store(spark):
+        found = intervals(spark.readStream.schema(events.schema).parquet(f"{root}/in"), "user_id", "ts", "12 hours")
+        keep = lambda rows, number: tables.transact(lambda c: c.append("sessions", rows), "sessions", number)
+        found.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    form = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return last_states(tables.read("sessions")).select("key", F.date_format("opened", form).alias("opened"), F.date_format("ends", form).alias("ends"), "n")
+
+
+# Luminance grids: each vector as an image of 8 x 8 pixels
+
+SIDE = 8
+
+
+def _grids(t) -> DataFrame:
+    grid = F.transform("embedding", lambda x: pixels.level(F.coalesce(x, F.lit(0.0)).cast("double") * 400 + 128))
+    return t("embeddings").select("vec_id", grid.alias("grid")).where(F.size("grid") == SIDE * SIDE)
+
+
+_GRIDS = "WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(greatest(floor(coalesce(x, 0)::DOUBLE * 400 + 128 + 0.5), 0), 255) AS BIGINT)) AS grid FROM embeddings WHERE len(embedding) = 64)"
+_JOINED = "array_to_string(list_transform({0}, lambda x: CAST(x AS BIGINT)), ',')"
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
+
+
+@query(f"{_GRIDS}, s AS (SELECT vec_id, grid, list_sort(grid) AS o FROM g), a AS (SELECT vec_id, CASE WHEN o[64] > o[1] THEN list_transform(grid, lambda x: least(greatest(floor((x - o[1]) * 255.0::DOUBLE / (o[64] - o[1]) + 0.5), 0), 255)) ELSE grid END AS v FROM s), b AS (SELECT vec_id, v, list_sum(v) / 64 AS m FROM a) SELECT vec_id, " + _JOINED.format("list_transform(v, lambda x: least(greatest(floor(x * CASE WHEN m < 155 THEN 1.08::DOUBLE WHEN m > 225 THEN 0.96::DOUBLE ELSE 1 END + 0.5), 0), 255))") + " AS pixels FROM b")
+def grid_enhanced(spark, t):
+    stretched = _grids(t).withColumn("grid", pixels.stretched(F.col("grid")))
+    return stretched.select("vec_id", _joined(pixels.brightened(F.col("grid"))).alias("pixels"))
+
+
+@query(f"{_GRIDS} SELECT vec_id, {_JOINED.format('list_transform(range(64), lambda k: grid[1 + (7 - k % 8) * 8 + k // 8])')} AS turned, {_JOINED.format('list_transform(range(16), lambda k: grid[1 + (k // 4) * 16 + (k % 4) * 2] + grid[2 + (k // 4) * 16 + (k % 4) * 2] + grid[9 + (k // 4) * 16 + (k % 4) * 2] + grid[10 + (k // 4) * 16 + (k % 4) * 2])')} AS reduced FROM g")
+def grid_turned(spark, t):
+    """A quarter turn, and four times the mean of each 2 x 2 pixels."""
+    grid = F.col("grid")
+    return _grids(t).select("vec_id", _joined(pixels.turned(grid, SIDE, SIDE, 90)).alias("turned"), _joined(F.transform(pixels.reduced(grid, SIDE, SIDE, 4), lambda x: x * 4)).alias("reduced"))
+
+
+@query(f"{_GRIDS}, x AS (SELECT vec_id, unnest(grid) AS x FROM g), c AS (SELECT vec_id, x AS t, count(*) AS n, sum(x) AS s FROM x GROUP BY ALL), k AS (SELECT vec_id, t, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(s) OVER (PARTITION BY vec_id) AS total FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY t)), r AS (SELECT vec_id, t, row_number() OVER (PARTITION BY vec_id ORDER BY ((s * 64 - total * n) * (s * 64 - total * n))::DOUBLE / (n * (64 - n))::DOUBLE DESC, t) AS place FROM k WHERE n < 64) SELECT g.vec_id, CAST(r.t AS INTEGER) AS threshold FROM g LEFT JOIN r ON r.vec_id = g.vec_id AND place = 1")
+def grid_threshold(spark, t):
+    return pixels.bright_region(_grids(t), "grid", SIDE, SIDE).select("vec_id", "region.threshold")
