@@ -28,8 +28,8 @@ VALUE = r"(?i)^(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"'
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 # What a text must hold to have a match of a kind.
 HINTS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "random": r"[A-Za-z0-9+/_=-]{20}"}
-# A run that may be a secret, and a word that an identifier is made of.
-RUN, WORD = r"(?:(?<![A-Za-z0-9+/_=-])|\G)[A-Za-z0-9+/_=-]++", r"[A-Za-z][a-z]{2,}+"
+# A run that may be a secret, and a word that an identifier is made of: no part of a longer string.
+RUN, WORD = r"(?:(?<![A-Za-z0-9+/_=-])|\G)[A-Za-z0-9+/_=-]++", r"(?<![A-Za-z0-9])[A-Za-z][a-z]{2,}+(?![A-Za-z0-9])"
 LEAST_RUN = 20
 #: The models' alphabet: a character is its place here, or 0 beyond it.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."

@@ -31,8 +31,8 @@ def base(text):
 @pytest.fixture(scope="module")
 def labelled(spark):
     words = "the quick brown foxes jumped over several lazy dogs while reading configuration manager values from account settings service module internal network client response buffer handler"
-    extra = " ".join("".join(w) for w in zip(words.split(), reversed(words.split()), strict=True))
-    docs = spark.createDataFrame([(f"{words} {extra} {words.upper()}",)], "text string")
+    parts = words.split()
+    docs = spark.createDataFrame([(" ".join([*parts, *(w.upper() for w in parts), *(a + b for a in parts for b in parts)]),)], "text string")
     return M.samples(docs).persist()
 
 
