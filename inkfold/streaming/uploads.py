@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.commits import Commit, Tables
 from ..operators.lookup import duplicates, first_per
 from ..operators.writes import new_cards
-from ..sources.images import image_type
+from ..sources.images import image_type, inspection
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 STREAM = "uploads"
@@ -22,19 +22,22 @@ def arrived(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> Data
     return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).load(folder)
 
 
-def judged(files: DataFrame, max_bytes: int) -> DataFrame:
+def judged(files: DataFrame, max_bytes: int, structure: bool = False) -> DataFrame:
     """(path, type, sha256, refused) of uploaded files: what is larger than the limit, or no JPEG or PNG, is refused and says
-    why."""
+    why; with `structure` also what is cut off or damaged."""
     large, kind = F.col("length") > max_bytes, image_type(F.col("content"))
     refused = F.when(large, "too large").when(kind.isNull(), "no image")
+    if structure:
+        files = files.withColumn("_whole", inspection(F.when(~large, F.col("content")))["whole"])
+        refused = F.coalesce(refused, F.when(~F.col("_whole"), "damaged"))
     return files.select("path", kind.alias("type"), F.when(refused.isNull(), F.sha2("content", 256)).alias("sha256"), refused.alias("refused"))
 
 
-def register(commit: Commit, files: DataFrame, now: str, settings: Mapping[str, object]) -> None:
+def register(commit: Commit, files: DataFrame, now: str, settings: Mapping[str, object], structure: bool = False) -> None:
     """Add the batch to cards, card_images, jobs and uploads. The first path of each content that no card holds becomes a card,
     whose id is made of its content, so that a batch run again gives the same ones. uploads (path, sha256, outcome, card_id)
     has a row for each file: queued, duplicate (with the card that holds its content), or why it was refused."""
-    seen = judged(files, int(settings["max_upload_mb"]) << 20)
+    seen = judged(files, int(settings["max_upload_mb"]) << 20, structure)
     good = seen.where("refused is null")
     images = commit.read("card_images")
     cards = first_per(good, ["sha256"], [F.col("path")]).select("sha256", "path", F.substring("sha256", 1, 32).alias("card_id"), F.lit("horizontal").alias("direction"), F.concat(F.lit("job-"), F.substring("sha256", 1, 28)).alias("job_id"))
@@ -49,20 +52,20 @@ def register(commit: Commit, files: DataFrame, now: str, settings: Mapping[str,
     commit.append("uploads", log)
 
 
-def upload_batch(tables: Tables, now: Callable[[], str], settings: Mapping[str, object], stream: str = STREAM) -> Callable[[DataFrame, int], None]:
+def upload_batch(tables: Tables, now: Callable[[], str], settings: Mapping[str, object], stream: str = STREAM, structure: bool = False) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that commits each batch once, however often it is run."""
 
     def run(files: DataFrame, number: int) -> None:
         files = files.persist()
         try:
-            tables.transact(lambda commit: register(commit, files, now(), settings), stream, number)
+            tables.transact(lambda commit: register(commit, files, now(), settings, structure), stream, number)
         finally:
             files.unpersist()
 
     return run
 
 
-def receive(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, now: Callable[[], str], settings: Mapping[str, object], files_a_batch: int = 1000) -> StreamingQuery:
+def receive(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, now: Callable[[], str], settings: Mapping[str, object], files_a_batch: int = 1000, structure: bool = False) -> StreamingQuery:
     """Run over what a folder of uploads holds by now."""
     files = arrived(spark, folder, files_a_batch)
-    return files.writeStream.foreachBatch(upload_batch(tables, now, settings)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(upload_batch(tables, now, settings, structure=structure)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
