@@ -47,6 +47,17 @@ def orphans_done(jobs: DataFrame, cards: DataFrame, now: str) -> DataFrame:
     return met.select(*[F.when(gone, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
 
 
+def requeued(jobs: DataFrame, leases: DataFrame) -> DataFrame:
+    """Running jobs whose last lease has expired are queued again, with the attempts they have had: leases (key the job's id, opened,
+    state), as a stream of them gives its last states. A job that has no lease stays as it is."""
+    held = {c.lower() for c in jobs.columns}
+    job, state = (next(n for k in range(99) if (n := f"_{w}{'_' * k}") not in held) for w in ("job", "state"))
+    last = leases.groupBy(F.col("key").alias(job)).agg(F.max_by("state", "opened").alias(state))
+    met = jobs.join(last, F.col("id").cast("string") == F.col(job), "left")
+    stuck = (F.col("status") == "running") & (F.col(state) == "expired")
+    return met.select(*[F.when(stuck, F.lit("queued")).otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in jobs.columns])
+
+
 def route(kind: Column, user: Column, message: Column, text: Column) -> Column:
     """What becomes of an inbound event: by the user's status first, then by what it holds."""
     return F.when(user.isNull() | (user != "active"), "unauthorized").when(kind != "message", "ignored").when((message == "text") & (F.trim(text) != ""), "searched").when(message == "image", "queued").otherwise("ignored")

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, classify, layout, lookup, merge, pixels, queue, search, writes
+from ..operators import catalog, classify, contours, layout, lookup, merge, pixels, queue, search, writes
 from ..operators.commits import Tables
 from ..sources import images, models, settings
 from ..sources.files import FileSink
-from ..streaming.sessions import intervals, last_states, state_store
+from ..streaming.sessions import intervals, last_leases, last_states, leases, state_store
 from ..streaming.uploads import receive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -795,6 +795,20 @@ def stream_sessions(spark, t):
     return last_states(tables.read("sessions")).select("key", F.date_format("opened", form).alias("opened"), F.date_format("ends", form).alias("ends"), "n")
 
 
+@query("WITH RECURSIVE e AS (SELECT user_id, ts, event_type IN ('view', 'click') AS claim FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IN ('view', 'click', 'purchase')), s AS (SELECT user_id, min(ts) AS opened FROM e WHERE claim GROUP BY user_id UNION ALL SELECT n.user_id, min(e.ts) FROM (SELECT s.user_id, s.opened, coalesce(min(f.ts), s.opened + INTERVAL 12 HOUR) AS free FROM s LEFT JOIN e f ON f.user_id = s.user_id AND NOT f.claim AND f.ts > s.opened AND f.ts < s.opened + INTERVAL 12 HOUR GROUP BY s.user_id, s.opened) n JOIN e ON e.user_id = n.user_id AND e.claim AND e.ts >= n.free GROUP BY n.user_id), d AS (SELECT s.user_id, s.opened, min(f.ts) AS done FROM s LEFT JOIN e f ON f.user_id = s.user_id AND NOT f.claim AND f.ts > s.opened AND f.ts < s.opened + INTERVAL 12 HOUR GROUP BY ALL) SELECT CAST(d.user_id AS VARCHAR) AS key, strftime(d.opened, '%Y-%m-%d %H:%M:%S.%f') AS opened, CASE WHEN d.done IS NOT NULL THEN 'done' WHEN d.opened + INTERVAL 12 HOUR <= (SELECT max(ts) FROM e) THEN 'expired' ELSE 'held' END AS state, count(*) - 1 AS refused FROM d JOIN e ON e.user_id = d.user_id AND e.claim AND e.ts >= d.opened AND e.ts < coalesce(d.done, d.opened + INTERVAL 12 HOUR) GROUP BY ALL")
+def stream_leases(spark, t):
+    """Jobs by user: views and clicks claim, a purchase finishes, 12 hours is a lease; claims of a held job are refused."""
+    root, tables = _shared(spark, "stream"), Tables(spark, _shared(spark, "tables"))
+    events = t("events").select("user_id", "ts", "event_type")
+    events.write.parquet(f"{root}/in")
+    kind = F.when(F.col("event_type").isin("view", "click"), True).when(F.col("event_type") == "purchase", False)
+    with state_store(spark):
+        found = leases(spark.readStream.schema(events.schema).parquet(f"{root}/in"), "user_id", "ts", kind, "12 hours")
+        keep = lambda rows, number: tables.transact(lambda c: c.append("leases", rows), "leases", number)
+        found.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return last_leases(tables.read("leases")).select("key", F.date_format("opened", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("opened"), "state", "refused")
+
+
 # Luminance grids: each vector as an image of 8 x 8 pixels
 
 SIDE = 8
@@ -829,3 +843,32 @@ def grid_turned(spark, t):
 @query(f"{_GRIDS}, x AS (SELECT vec_id, unnest(grid) AS x FROM g), c AS (SELECT vec_id, x AS t, count(*) AS n, sum(x) AS s FROM x GROUP BY ALL), k AS (SELECT vec_id, t, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(s) OVER (PARTITION BY vec_id) AS total FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY t)), r AS (SELECT vec_id, t, row_number() OVER (PARTITION BY vec_id ORDER BY ((s * 64 - total * n) * (s * 64 - total * n))::DOUBLE / (n * (64 - n))::DOUBLE DESC, t) AS place FROM k WHERE n < 64) SELECT g.vec_id, CAST(r.t AS INTEGER) AS threshold FROM g LEFT JOIN r ON r.vec_id = g.vec_id AND place = 1")
 def grid_threshold(spark, t):
     return pixels.bright_region(_grids(t), "grid", SIDE, SIDE).select("vec_id", "region.threshold")
+
+
+@query(_GRIDS.replace("WITH", "WITH RECURSIVE") + ", m AS (SELECT vec_id, k FROM (SELECT vec_id, grid, unnest(range(64)) AS k FROM g) WHERE grid[k + 1] > 128), f AS (SELECT vec_id, k AS seed, k FROM m UNION SELECT f.vec_id, f.seed, m.k FROM f JOIN m ON m.vec_id = f.vec_id AND abs(m.k // 8 - f.k // 8) <= 1 AND abs(m.k % 8 - f.k % 8) <= 1), l AS (SELECT vec_id, k, min(seed) AS place FROM f GROUP BY ALL), r AS (SELECT vec_id, place, count(*) AS n FROM l GROUP BY ALL) SELECT g.vec_id, coalesce(string_agg(concat(r.place, ':', r.n), ',' ORDER BY r.n DESC, r.place), '') AS regions FROM g LEFT JOIN r ON r.vec_id = g.vec_id GROUP BY g.vec_id")
+def grid_regions(spark, t):
+    """Connected bright regions of every grid: first place and size of each, the largest first."""
+    mask = F.transform("grid", lambda x: (x > 128).cast("int"))
+    found = F.array_sort(F.transform(contours.regions(mask, SIDE, SIDE, SIDE * SIDE), lambda r: F.struct((-r["size"]).alias("less"), r["place"].alias("place"))))
+    return _grids(t).select("vec_id", F.array_join(F.transform(found, lambda r: F.concat(r["place"].cast("string"), F.lit(":"), (-r["less"]).cast("string"))), ",").alias("regions"))
+
+
+_AT = "CASE WHEN {0} BETWEEN 0 AND 7 AND {1} BETWEEN 0 AND 7 THEN grid[{0} * 8 + {1} + 1]::DOUBLE ELSE 0::DOUBLE END"
+_MIXED = f"(({_AT.format('r', 'c')}) * (1 - fx) + ({_AT.format('r', '(c + 1)')}) * fx) * (1 - fy) + (({_AT.format('(r + 1)', 'c')}) * (1 - fx) + ({_AT.format('(r + 1)', '(c + 1)')}) * fx) * fy"
+
+
+@query(f"{_GRIDS}, q AS (SELECT vec_id, grid, (grid[1] % 3)::DOUBLE AS x0, (grid[2] % 3)::DOUBLE AS y0, (7 - grid[3] % 3)::DOUBLE AS x1, (grid[4] % 3)::DOUBLE AS y1, (7 - grid[5] % 3)::DOUBLE AS x2, (7 - grid[6] % 3)::DOUBLE AS y2, (grid[7] % 3)::DOUBLE AS x3, (7 - grid[8] % 3)::DOUBLE AS y3 FROM g), d AS (SELECT *, x1 - x2 AS dx1, x3 - x2 AS dx2, x0 - x1 + x2 - x3 AS sx, y1 - y2 AS dy1, y3 - y2 AS dy2, y0 - y1 + y2 - y3 AS sy FROM q), h AS (SELECT *, (sx * dy2 - dx2 * sy) / (dx1 * dy2 - dx2 * dy1) AS g, (dx1 * sy - sx * dy1) / (dx1 * dy2 - dx2 * dy1) AS h FROM d), p AS (SELECT *, unnest(range(24)) AS k FROM h), u AS (SELECT *, (k % 6)::DOUBLE / 5 AS u, (k // 6)::DOUBLE / 3 AS v FROM p), s AS (SELECT vec_id, grid, k, ((x1 - x0 + g * x1) * u + (x3 - x0 + h * x3) * v + x0) / (g * u + h * v + 1) AS sx, ((y1 - y0 + g * y1) * u + (y3 - y0 + h * y3) * v + y0) / (g * u + h * v + 1) AS sy FROM u), f AS (SELECT vec_id, grid, k, CAST(floor(sy) AS BIGINT) AS r, CAST(floor(sx) AS BIGINT) AS c, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM s) SELECT vec_id, string_agg(CAST(CAST(least(greatest(floor({_MIXED} + 0.5), 0), 255) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS pixels FROM f GROUP BY vec_id")
+def grid_warped(spark, t):
+    """Every grid's own quadrilateral, set upright at 6 x 4 pixels."""
+    near = lambda k: (F.get("grid", k) % 3).cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    quad = F.array(point(near(0), near(1)), point(7 - near(2), near(3)), point(7 - near(4), 7 - near(5)), point(near(6), 7 - near(7)))
+    rows = _grids(t).withColumn("quad", quad)
+    return rows.select("vec_id", _joined(contours.warped(F.col("grid"), F.col("quad"), SIDE, SIDE, F.lit(6), F.lit(4))).alias("pixels"))
+
+
+@query()
+def grid_cropped(spark, t):
+    """The crop of each grid: the first region of edges or of brightness that has a card's shape; brute force in the tests."""
+    found = contours.cropped(_grids(t), "grid", SIDE, SIDE, least=(3, 2), reach=1, times=1)
+    return found.select("vec_id", "crop.width", "crop.height", _joined(F.col("crop.pixels")).alias("pixels"))
