@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,13 +122,27 @@ def _labelers(kind: str, value: Column, before: Column, after: Column) -> dict[s
 HINTS = {"email": r"@|(?i)\bat\b", "ip": ":", "card": "[0-9]{4}", "phone": "[0-9]{3}"}
 
 
+def _meets(spans: str, s: Column) -> Column:
+    """Whether s overlaps one of the spans, which are in order and do not overlap each other: a binary search for the first one that
+    ends behind the start of s."""
+    halve = lambda b: F.floor((b["low"] + b["high"]) / 2).cast("int")
+
+    def step(b: Column, _: Column) -> Column:
+        behind = (b["low"] < b["high"]) & (F.get(spans, halve(b))["end"] > s["start"])
+        return F.struct(F.when(behind | (b["low"] >= b["high"]), b["low"]).otherwise(halve(b) + 1).alias("low"), F.when(behind, halve(b)).otherwise(b["high"]).alias("high"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    first = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), step)["low"]
+    return F.when(F.size(spans) > 0, F.coalesce(F.get(spans, first)["start"] < s["end"], F.lit(False))).otherwise(False)
+
+
 def candidates(found: DataFrame) -> DataFrame:
     """(doc_id, text key, kind, start, end, base, features): base spans, and wider ones that overlap no base span. The
     features are the labelers' votes and the span's shape, as small integers. One pass over the texts: the spans of all kinds
     are one array, exploded once; a span takes along its context, not the text."""
     text = F.col("text")
     wide = {k: F.when(text.rlike(HINTS[k]), matches(text, WIDER[k])).otherwise(_nothing()).alias(f"wide_{k}") for k in KINDS}
-    found = found.select("doc_id", "key", "text", *KINDS, F.flatten(F.array(*KINDS)).alias("every"), *wide.values())
+    found = found.select("doc_id", "key", "text", *KINDS, *wide.values())
 
     def span(kind: str, base: bool) -> Callable[[Column], Column]:
         def made(s: Column) -> Column:
@@ -137,7 +152,7 @@ def candidates(found: DataFrame) -> DataFrame:
 
         return made
 
-    free = lambda s: ~F.exists("every", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    free = lambda s: ~reduce(or_, [_meets(k, s) for k in KINDS])
     parts = [part for k in KINDS for part in (F.transform(k, span(k, True)), F.transform(F.filter(f"wide_{k}", free), span(k, False)))]
     # explode_outer: explode would first filter by the size of the array, and so compute every span twice.
     spans = found.select("doc_id", "key", F.explode_outer(F.concat(*parts)).alias("s")).where(F.col("s").isNotNull()).select("doc_id", "key", "s.*")

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import regex
+
 from inkfold.llm import pii
 
 PLAIN = {
@@ -43,6 +45,22 @@ def test_base_spans_are_those_of_the_plain_patterns(spark):
         assert [(s["kind"], s["start"], s["end"]) for s in by[i] if s["base"]] == brute(text), text
 
 
+def test_wider_spans_are_those_that_meet_no_base_span(spark):
+    rng = random.Random(5)
+    bits = ["bob (at) site (dot) com", "a@b.co", "a [at] b.org", " ", " ", ", ", "4111 1111 1111 1111", "1234.5678.1234.5678", "020 7946 0958", "(020) 7946-0958", "+44 20 7946 0958", "1:2:3:4:5:6:7:8", "10.0.0.1", "555-123-4567", "x", "é😀"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for i in range(150)] + [(900, ""), (901, None), (902, "bob (at) site (dot) com " * 300)]
+    keyed = pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("key", pii.F.xxhash64("text"))
+    got = {(r.doc_id, r.kind, r.start, r.end) for r in pii.candidates(keyed).where("not base").collect()}
+    want = set()
+    for i, text in rows:
+        base = brute(text)
+        for k in pii.KINDS:
+            for m in regex.finditer(pii.WIDER[k], text or ""):
+                if regex.search(pii.HINTS[k], text) and not any(s < m.end() and m.start() < e for _, s, e in base):
+                    want.add((i, k, m.start(), m.end()))
+    assert got == want and len(want) > 300
+
+
 def test_wider_spans_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "mail bob (at) site (dot) com now", 5)] * 2 + [(None, "a@b.com", 1), (None, None, 2)], "doc_id long, text string, key long")
     found = pii.personal_data(df).collect()
