@@ -24,6 +24,9 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 _ENDED = {tag: (frozenset(ends.split()), frozenset(scope.split())) for tag, (ends, scope) in CLOSES.items()}
 SCOPES = frozenset("html body article aside section div table td th li dl ul ol main nav header footer form blockquote fieldset figure".split())
 
+#: Elements that an inline end tag does not reach out of.
+FENCES = frozenset({"table", "article", "body"})
+
 # Words in tags, classes, ids and roles that tell content from the rest.
 BOILER = re.compile(r"(?:^|[-_ ])(?:ad|ads|adv|advert|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|copyright|legal|sidebar|side|aside|widget|related|recommended|more|share|sharing|social|follow|subscribe|newsletter|signup|login|search|form|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|comment|comments|disqus|respond|reply|replies|discussion|pagination|pager|tags|toolbar|skip|hidden|outbrain|taboola)(?:$|[-_ 0-9])", re.I)
 CONTENT = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body|text|prose)(?:$|[-_ 0-9])", re.I)
@@ -51,13 +54,28 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes, self.open = [Node("html", "", -1, False)], [0]
         self.counts: Counter[str] = Counter()
+        self.fenced: list[Counter[str]] = [Counter()]  # open elements by name, since each open fence
         self.runs: list[tuple[int, str]] = []
 
     def _pop_to(self, depth: int) -> None:
-        for i in self.open[depth:]:
-            self.counts[self.nodes[i].tag] -= 1
+        for i in reversed(self.open[depth:]):
+            tag = self.nodes[i].tag
+            self.counts[tag] -= 1
+            if tag in FENCES:
+                self.fenced.pop()
+            else:
+                self.fenced[-1][tag] -= 1
         del self.open[depth:]
 
+    def _push(self, tag: str) -> None:
+        """Open the last node."""
+        self.open.append(len(self.nodes) - 1)
+        self.counts[tag] += 1
+        if tag in FENCES:
+            self.fenced.append(Counter())
+        else:
+            self.fenced[-1][tag] += 1
+
     def _end_head(self) -> None:
         """Close the head: an element that no head holds has begun."""
         for depth in range(1, len(self.open)):
@@ -71,8 +89,7 @@ class Tree(HTMLParser):
             self.nodes.append(Node("body", "", 0, False))
             self.nodes[0].children.append(len(self.nodes) - 1)
             self._pop_to(1)
-            self.open.append(len(self.nodes) - 1)
-            self.counts["body"] += 1
+            self._push("body")
 
     def _end_omitted(self, tag: str) -> None:
         """Close what a start tag ends: an open paragraph, item, cell or row of the same scope."""
@@ -106,22 +123,18 @@ class Tree(HTMLParser):
         if tag in VOID:
             self.runs.append((len(self.nodes) - 1, " "))
         else:
-            self.open.append(len(self.nodes) - 1)
-            self.counts[tag] += 1
+            self._push(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if not self.counts[tag]:
+        if not self.counts[tag] or (tag not in BLOCK and not self.fenced[-1][tag]):
             return
         for depth in range(len(self.open) - 1, 0, -1):
-            at = self.nodes[self.open[depth]].tag
-            if at == tag:
+            if self.nodes[self.open[depth]].tag == tag:
                 self._pop_to(depth)
                 return
-            if at in ("table", "article", "body") and tag not in BLOCK:
-                return
 
     def handle_data(self, data: str) -> None:
         if self.counts["head"] and not data.isspace() and self.nodes[self.open[-1]].tag == "head":
@@ -133,9 +146,14 @@ class Tree(HTMLParser):
             self.runs.append((at, data))
 
 
+_OPENING = re.compile("<[A-Za-z/!?]")
+
+
 def parse(html: str) -> Tree:
+    """The tree of a page. A tag that the page's end cuts off is left out with all that follows, as it can have no end there."""
     tree = Tree()
-    tree.feed(html)
+    cut = _OPENING.search(html, html.rfind(">") + 1)
+    tree.feed(html[: cut.start()] if cut else html)
     tree.close()
     return tree
 

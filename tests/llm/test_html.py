@@ -58,6 +58,26 @@ def test_cost_grows_with_the_page(open_, close):
     assert seconds(16_000) < 20 * max(seconds(4_000), 0.02)
 
 
+@pytest.mark.parametrize("page", [lambda n: "<i><article>" + "<b>" * n + "</i>" * n, lambda n: "<a " * n, lambda n: "<p>x</p>" + "<!-- " * n, lambda n: "<table>" + "<i></b>" * n])
+def test_cost_of_stray_and_cut_off_tags(page):
+    def seconds(n):
+        begun = time.perf_counter()
+        H.parse(page(n))
+        return time.perf_counter() - begun
+
+    assert seconds(32_000) < 20 * max(seconds(8_000), 0.02)
+
+
+def test_a_tag_cut_off_by_the_end_is_left_out():
+    assert H.extract(f"<article><h1>Title</h1><p>{TEXT} 1 < 2 <a href='x", MODEL) == f"Title\n\n{TEXT} 1 < 2"
+    assert H.extract(f"<article><p>{TEXT} <", MODEL) == f"{TEXT} <"
+
+
+def test_inline_ends_stay_inside_their_fence():
+    tree = H.parse("<i><article><b>x</i>y</b>z</article></i>w")
+    assert [tree.nodes[i].tag for i, _ in tree.runs] == ["b", "b", "article", "body"]
+
+
 def test_columns_nulls_and_repeated_rows(spark):
     page = f"<nav><a href=/>Menu</a></nav><article><p>{TEXT}</p></article><footer>Foot of the page</footer>"
     rows = [(1, "u", page, "a", "b")] * 2 + [(2, "u", page, "a", "b"), (None, None, None, None, None)]
