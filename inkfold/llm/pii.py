@@ -42,8 +42,8 @@ CONTEXT = {
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "jp", "it", "nl", "eu", "us")
 #: Fewest spans of a kind from which the model is estimated; with fewer, the priors hold.
 LEAST_SPANS = 20
-#: Spans of one text that are appended to one array.
-PAGE = 256
+#: Matches of a text that are placed together, and code points of a text that contexts are cut from.
+PAGE, PIECE = 64, 1024
 ROUNDS, PRIOR = 50, 0.5
 
 
@@ -56,23 +56,30 @@ def _nothing() -> Column:
 
 def matches(text: Column, pattern: str, passes: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches that pass, in code points. The text is split at
-    the same matches; a match begins behind all gaps and matches before it. Spans are gathered in pages of PAGE, as appending
-    to an array copies it."""
+    the same matches; a match begins behind all gaps and matches before it. The length of each page of PAGE matches comes first,
+    then the pages' starts, then the places inside each page: a step of an aggregate copies its array, so no array is long."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("value")))
+    size = lambda m: F.coalesce(F.char_length(m), F.lit(0))
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), size(m).alias("size"), m.alias("value")))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["gap"]
-        end = start + F.coalesce(F.char_length(p["value"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))
-        full = F.size(a["page"]) >= PAGE
-        pages = F.when(full, F.concat(a["pages"], F.array(a["page"]))).otherwise(a["pages"])
-        page = F.when(full, _nothing()).otherwise(a["page"])
-        more = F.when(p["value"].isNotNull() & passes(p["value"]), F.concat(page, span)).otherwise(page)
-        return F.struct(end.alias("at"), pages.alias("pages"), more.alias("page"))
+    def located(ps: Column) -> Column:
+        pages = F.sequence(F.lit(0), F.floor(F.greatest(F.size(ps) - 1, F.lit(0)) / PAGE).cast("int"))
+        page = lambda i: F.transform(F.sequence(i * PAGE, F.least(i * PAGE + PAGE, F.size(ps)) - 1), lambda k: F.get(ps, k))
+        lengths = F.transform(pages, lambda i: F.aggregate(page(i), F.lit(0), lambda a, p: a + p["gap"] + p["size"]))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(lengths, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("pages"), _nothing().alias("page"))
-    return F.aggregate(pairs, empty, step, lambda a: F.flatten(F.concat(a["pages"], F.array(a["page"]))))
+        def step(a: Column, p: Column) -> Column:
+            start = a["at"] + p["gap"]
+            end = start + p["size"]
+            span = F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))
+            return F.struct(end.alias("at"), F.when(p["value"].isNotNull() & passes(p["value"]), F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+
+        inside = lambda i, at: F.aggregate(page(i), F.struct(at.alias("at"), _nothing().alias("spans")), step, lambda a: a["spans"])
+        return F.flatten(F.zip_with(pages, starts, inside))
+
+    # One element, so that the pairs are a variable of the lambda and found once.
+    return F.get(F.transform(F.array(pairs), located), 0)
 
 
 def _digits(value: Column) -> Column:
@@ -142,18 +149,24 @@ def candidates(found: DataFrame) -> DataFrame:
     are one array, exploded once; a span takes along its context, not the text."""
     text = F.col("text")
     wide = {k: F.when(text.rlike(HINTS[k]), matches(text, WIDER[k])).otherwise(_nothing()).alias(f"wide_{k}") for k in KINDS}
-    found = found.select("doc_id", "key", "text", *KINDS, *wide.values())
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    found = found.select("doc_id", "key", pieces.alias("pieces"), *KINDS, *wide.values())
+
+    def part(low: Column, size: Column) -> Column:
+        """size code points from low, found in two pieces: a substring of the text would count from its start."""
+        i = F.floor(low / PIECE).cast("int")
+        return F.substring(F.concat(F.get("pieces", i), F.coalesce(F.get("pieces", i + 1), F.lit(""))), low - i * PIECE + 1, size)
 
     def span(kind: str, base: bool) -> Callable[[Column], Column]:
         def made(s: Column) -> Column:
-            before = F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
-            after = F.substring(text, s["end"] + 1, F.lit(20))
+            before = part(F.greatest(s["start"] - 40, F.lit(0)), F.least(s["start"], F.lit(40)))
+            after = F.coalesce(part(s["end"], F.lit(20)), F.lit(""))
             return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(base).alias("base"), before.alias("before"), after.alias("after"))
 
         return made
 
     free = lambda s: ~reduce(or_, [_meets(k, s) for k in KINDS])
-    parts = [part for k in KINDS for part in (F.transform(k, span(k, True)), F.transform(F.filter(f"wide_{k}", free), span(k, False)))]
+    parts = [p for k in KINDS for p in (F.transform(k, span(k, True)), F.transform(F.filter(f"wide_{k}", free), span(k, False)))]
     # explode_outer: explode would first filter by the size of the array, and so compute every span twice.
     spans = found.select("doc_id", "key", F.explode_outer(F.concat(*parts)).alias("s")).where(F.col("s").isNotNull()).select("doc_id", "key", "s.*")
     votes = {k: _labelers(k, F.col("value"), F.col("before"), F.col("after")) for k in KINDS}

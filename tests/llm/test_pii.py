@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import regex
 
@@ -71,7 +72,8 @@ def test_wider_spans_and_repeated_rows(spark):
 def test_every_text_is_read_once(spark):
     df = spark.createDataFrame([(1, "mail bob (at) site (dot) com now")], "doc_id long, text string")
     plan = pii.candidates(pii.base_spans(df).withColumn("key", pii.F.xxhash64("text")))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("regexp_extract_all") == 2 * len(pii.KINDS)
+    assert plan.count("{1,%d}" % pii.PIECE) == 1  # the pieces that contexts are cut from
+    assert plan.count("regexp_extract_all") == 2 * len(pii.KINDS) + 1
 
 
 def test_empty_table(spark):
@@ -90,3 +92,23 @@ def test_query_digest(spark, tmp_path):
     row = pii.op10_pii(spark, str(tmp_path)).first()
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 0, 0)
     assert row.base_sha256 == hashlib.sha256(b"email:2:9,ip:10:18").hexdigest() and row.spans == "email:2:9,ip:10:18"
+
+
+def test_contexts_are_the_characters_beside_a_span(spark):
+    """Contexts are cut from pieces of a text; a word that decides a vote counts wherever a piece ends."""
+    texts = ["é" * k + " phone 020 7946 0958 😀" for k in range(980, 1030)] + ["x" * k + " 020 7946 0958 phone" for k in range(1000, 1015)]
+    keyed = pii.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("key", pii.F.xxhash64("text"))
+    rows = pii.candidates(keyed).where("not base").collect()
+    assert len(rows) == len(texts) and all(r.context == 1 for r in rows)
+
+
+def test_cost_grows_with_the_text(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, " ".join(f"ab{i}@x.org" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert pii.candidates(pii.base_spans(docs).withColumn("key", pii.F.xxhash64("text"))).count() == n
+        return time.time() - began
+
+    seconds(100)
+    small = seconds(10_000)
+    assert seconds(40_000) < 6 * small + 5
