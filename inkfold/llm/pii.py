@@ -129,7 +129,7 @@ def _labelers(kind: str, value: Column, before: Column, after: Column) -> dict[s
 HINTS = {"email": r"@|(?i)\bat\b", "ip": ":", "card": "[0-9]{4}", "phone": "[0-9]{3}"}
 
 
-def _meets(spans: str, s: Column) -> Column:
+def meets(spans: str, s: Column) -> Column:
     """Whether s overlaps one of the spans, which are in order and do not overlap each other: a binary search for the first one that
     ends behind the start of s."""
     halve = lambda b: F.floor((b["low"] + b["high"]) / 2).cast("int")
@@ -165,7 +165,7 @@ def candidates(found: DataFrame) -> DataFrame:
 
         return made
 
-    free = lambda s: ~reduce(or_, [_meets(k, s) for k in KINDS])
+    free = lambda s: ~reduce(or_, [meets(k, s) for k in KINDS])
     parts = [p for k in KINDS for p in (F.transform(k, span(k, True)), F.transform(F.filter(f"wide_{k}", free), span(k, False)))]
     # explode_outer: explode would first filter by the size of the array, and so compute every span twice.
     spans = found.select("doc_id", "key", F.explode_outer(F.concat(*parts)).alias("s")).where(F.col("s").isNotNull()).select("doc_id", "key", "s.*")

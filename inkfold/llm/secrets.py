@@ -7,13 +7,14 @@ the samples calibrate."""
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save, table
-from .pii import PAGE, matches
+from .pii import matches, meets
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -115,26 +116,10 @@ def fit(labelled: DataFrame) -> dict:
     return {"ratios": table_, "threshold": threshold / 100, "caught": caught}
 
 
-def _apart(base: Column, runs: Column) -> Column:
-    """The runs that overlap no base span, by one pass over both in order of their starts. Runs never overlap each other: so the
-    span behind a run tells whether a base span begins inside it, and the furthest end so far whether one reaches into it."""
-    marked = lambda spans, is_base: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(is_base).alias("base"), s["value"].alias("value")))
-    every = F.array_sort(F.concat(marked(base, True), marked(runs, False)))
-    coming = F.zip_with(every, F.slice(every, 2, 1_000_000_000), lambda s, t: F.struct(s.alias("s"), F.coalesce(t["base"] & (t["start"] < s["end"]), F.lit(False)).alias("met")))
-    none = F.array().cast(_SPANS)
-
-    def step(a: Column, x: Column) -> Column:
-        s = x["s"]
-        free = ~s["base"] & ~x["met"] & (s["start"] >= a["reach"])
-        full = F.size(a["page"]) >= PAGE
-        pages = F.when(full, F.concat(a["pages"], F.array(a["page"]))).otherwise(a["pages"])
-        page = F.when(full, none).otherwise(a["page"])
-        more = F.when(free, F.concat(page, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))).otherwise(page)
-        return F.struct(F.when(s["base"], F.greatest(a["reach"], s["end"])).otherwise(a["reach"]).alias("reach"), pages.alias("pages"), more.alias("page"))
-
-    start = F.struct(F.lit(0).alias("reach"), F.array().cast(f"array<{_SPANS}>").alias("pages"), none.alias("page"))
-    walked = F.aggregate(coming, start, step, lambda a: F.flatten(F.concat(a["pages"], F.array(a["page"]))))
-    return F.when(F.size(runs) == 0, runs).when(F.size(base) == 0, runs).otherwise(walked)
+def _apart(found: DataFrame) -> DataFrame:
+    """found without the runs that overlap a base span. Spans of one kind are in order and do not overlap each other, so a run is
+    looked up in each kind by binary search."""
+    return found.withColumn("at_random", F.filter("at_random", lambda s: ~reduce(or_, [meets(f"at_{k}", s) for k in KINDS[:-1]])))
 
 
 def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -148,8 +133,7 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = rows.select("doc_id", *[_found(text, k).alias(f"at_{k}") for k in KINDS])
-    base = F.flatten(F.array(*[F.col(f"at_{k}") for k in KINDS[:-1]]))
-    apart = found.withColumn("at_random", _apart(base, F.col("at_random")))
+    apart = _apart(found)
     form = lambda k: lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("k"), s["end"].alias("end"), F.lit(k).alias("kind"), (ratio(s["value"], model["ratios"]) if k == "random" else F.lit(None).cast("double")).alias("score"))
     scored = apart.select("doc_id", *[F.transform(f"at_{k}", form(k)).alias(f"at_{k}") for k in KINDS])
     kept = F.concat(*[F.col(f"at_{k}") for k in KINDS[:-1]], F.filter("at_random", lambda s: s["score"] > model["threshold"]))
