@@ -31,9 +31,13 @@ def like(c: Column, needle: str, folded: bool = False) -> Column:
 
 
 def prepared(df: DataFrame, fields: list[str]) -> DataFrame:
-    """df with each field folded (_f_<name>), and without spaces (_d_<name>): once for all needles of matches()."""
-    df = df.withColumns({f"_f_{f}": F.when(F.octet_length(f) == F.char_length(f), F.lower(f)).otherwise(ascii_folded(F.col(f))) for f in fields})
-    return df.withColumns({f"_d_{f}": F.replace(F.replace(F.col(f"_f_{f}"), F.lit(" "), F.lit("")), F.lit("　"), F.lit("")) for f in fields})
+    """df with each field folded (_f_<name>), and without spaces (_d_<name>): once for all needles of matches(). Both are
+    generated columns, as the optimiser would copy the expressions of a projection into each needle's test."""
+    fold = lambda c: F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(ascii_folded(F.col(c)))
+    bare = lambda c: F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("　"), F.lit(""))
+    once = lambda cols: F.inline(F.array(F.struct(*cols)))
+    df = df.select("*", once([fold(f).alias(f"_f_{f}") for f in fields]))
+    return df.select("*", once([bare(F.col(f"_f_{f}")).alias(f"_d_{f}") for f in fields]))
 
 
 def matches(query: str, fields: list[str], ready: bool = False) -> Column | None:
