@@ -40,9 +40,10 @@ def prepared(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select("*", once([bare(F.col(f"_f_{f}")).alias(f"_d_{f}") for f in fields]))
 
 
-def matches(query: str, fields: list[str], ready: bool = False) -> Column | None:
-    """Predicate of a search; None for a query of white space, which filters nothing. ready: over the columns of prepared()."""
-    found = variants(query)
+def matches(query: str, fields: list[str], ready: bool = False, typed: bool = False) -> Column | None:
+    """Predicate of a search; None for a query of white space, which filters nothing. ready: over the columns of prepared().
+    typed: no spelling but the typed one, so that a phrase is not met across other spaces."""
+    found = variants(query)[:1] if typed else variants(query)
     if not found:
         return None
     sides = lambda f: (F.col(f"_f_{f}"), F.col(f"_d_{f}")) if ready else (F.col(f), despaced(F.col(f)))
@@ -50,15 +51,15 @@ def matches(query: str, fields: list[str], ready: bool = False) -> Column | None
     return F.coalesce(reduce(or_, [F.coalesce(t, F.lit(False)) for t in terms]), F.lit(False))
 
 
-def search(cards: DataFrame, query: str | None = None, status: str | None = None, owner: str | None = None, fields: list[str] | None = None, drop: tuple[str, ...] = (), order: tuple[str, str] = ("created_at", "id"), status_col: str = "status", owner_col: str = "owner_line_user_id") -> DataFrame:
+def search(cards: DataFrame, query: str | None = None, status: str | None = None, owner: str | None = None, fields: list[str] | None = None, drop: tuple[str, ...] = (), order: tuple[str, str] = ("created_at", "id"), status_col: str = "status", owner_col: str = "owner_line_user_id", typed: bool = False) -> DataFrame:
     """Cards, newest first (ties by id), without heavy columns. An empty parameter filters nothing; an owner scopes the
-    search to that owner's cards."""
+    search to that owner's cards. typed: the query as typed, without its other spellings."""
     out = cards
     if status:
         out = out.where(F.col(status_col) == status)
     if owner:
         out = out.where(F.col(owner_col) == owner)
-    if query and (found := matches(query, fields or [], ready=True)) is not None:
+    if query and (found := matches(query, fields or [], ready=True, typed=typed)) is not None:
         out = prepared(out, fields or []).where(found).select(*out.columns)
     return out.drop(*drop).orderBy(F.col(order[0]).desc(), F.col(order[1]).desc())
 
