@@ -34,16 +34,17 @@ class Intervals(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         held = self.open.get() if self.open.exists() else None
-        opened, n = (held[0], held[1]) if held else (None, 0)
-        changed: dict[int, int] = {}
+        before, n = (held[0], held[1]) if held else (None, 0)
+        opened, changed = before, {}
         for at in sorted(r.at for r in rows):
             if opened is None or at >= opened + self.length:
-                if opened is not None:
-                    self.handle.deleteTimer(self._timer(opened))
                 opened, n = at, 0
-                self.handle.registerTimer(self._timer(opened))
             n += 1
             changed[opened] = n
+        if opened != before:  # a call to the store each: the last interval's timer alone, whatever opened and ended before it
+            if before is not None:
+                self.handle.deleteTimer(self._timer(before))
+            self.handle.registerTimer(self._timer(opened))
         self.open.update((opened, n))
         for start, count in changed.items():
             yield Row(key=key[0], opened=start, ends=start + self.length, n=count)

@@ -2,8 +2,10 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
+
 from inkfold.operators.commits import Tables
-from inkfold.streaming.sessions import intervals, last_states, state_store
+from inkfold.streaming.sessions import Intervals, intervals, last_states, state_store
 
 START = datetime(2024, 1, 1)
 FORM = "user string, ts timestamp"
@@ -40,3 +42,41 @@ def test_batches_and_restarts_equal_one_pass(spark, tmp_path):
         assert got == plain(seen, 2)
     state = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "log"))
     assert state.count() <= 2  # what has ended is forgotten
+
+
+class _Store:
+    """Counts what a processor asks of the state store."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_batch_sets_one_timer_for_a_key_however_many_intervals_it_opens():
+    store, processor = _Store(), Intervals(10)
+    processor.init(store)
+    feed = lambda *at: [tuple(r) for r in processor.handleInputRows(("k",), (Row(at=x) for x in at), None)]
+    out = feed(*range(0, 5000, 5))
+    assert [r[1:] for r in map(tuple, out)] == [(x, x + 10, 2) for x in range(0, 5000, 10)]
+    assert store.held == (4990, 2) and store.timers == {processor._timer(4990)} and store.calls == 1
+    assert feed(4999) == [("k", 4990, 5000, 3)] and store.calls == 1
+    assert [r[1] for r in feed(5000, 7000)] == [5000, 7000] and store.timers == {processor._timer(7000)} and store.calls == 3
