@@ -1,7 +1,7 @@
 """A sink for files, which Spark lacks: rows (name, content) become files of a folder, in a batch or a stream.
 
 A task writes into a folder of its own beside the target and reports it; only a commit of the whole write moves files to their
-names. A failed task deletes what it wrote, an aborted write what its tasks left. Names decide the targets, so a write that is
+names, a folder that the target lacks as a whole. A failed task deletes what it wrote, an aborted write what its tasks left. Names decide the targets, so a write that is
 run again gives the same files. Register the source with `spark.dataSource.register(FileSink)`, then
 `df.write.format("file_sink").mode("append").save(folder)` or `df.writeStream.format("file_sink")...start(folder)`.
 """
@@ -11,8 +11,10 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, Row, StringType, StructField, StructType
 
@@ -53,12 +55,14 @@ class _Files:
         mine = f"{root}/{self.beside}/{uuid.uuid4().hex}"
         store.create_dir(mine, recursive=True)
         try:
-            n = 0
+            n, made = 0, {mine}
             for row in rows:
                 if row.name is None or row.content is None:
                     continue
                 path = f"{mine}/{contained(row.name)}"
-                store.create_dir(posixpath.dirname(path), recursive=True)
+                if (parent := posixpath.dirname(path)) not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with store.open_output_stream(path) as out:
                     out.write(bytes(row.content))
                 n += 1
@@ -68,20 +72,29 @@ class _Files:
             raise
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Move every task's files to their names: a rename each, a task's folder at a time."""
-        from pyarrow import fs
-
+        """Move every task's files to their names: one rename for a folder that the target does not have, one a file elsewhere."""
         store, root = opened(self.folder)
         for message in messages:
-            if message is None:
-                continue
-            for found in store.get_file_info(fs.FileSelector(message.folder, recursive=True)):
-                if found.is_file:
-                    target = f"{root}/{found.path[len(message.folder) + 1 :]}"
-                    store.create_dir(posixpath.dirname(target), recursive=True)
-                    store.move(found.path, target)
+            if message is not None and message.files:
+                self._move(store, message.folder, root)
         self.clean()
 
+    def _move(self, store: object, source: str, target: str) -> None:
+        """What source holds, into the folder target, which exists."""
+        from pyarrow import fs
+
+        found = store.get_file_info(fs.FileSelector(source))
+        folders = [f for f in found if f.type == fs.FileType.Directory]
+        for f in found:
+            if f.is_file:
+                store.move(f.path, f"{target}/{f.base_name}")
+        there = store.get_file_info([f"{target}/{f.base_name}" for f in folders])
+        for f, at in zip(folders, there, strict=True):
+            if at.type == fs.FileType.NotFound:
+                store.move(f.path, at.path)
+            else:
+                self._move(store, f.path, at.path)
+
     def clean(self) -> None:
         from pyarrow import fs
 
@@ -137,3 +150,18 @@ class FileSink(DataSource):
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
         return _Stream(self.options["path"])
+
+
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """For reads and streams of many small files that run inside, to their end: a task reads some thousands of them, not 31, and
+    a few tasks list them, not one for each path."""
+    wanted = {"spark.sql.files.openCostInBytes": "64KB", "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)

@@ -3,10 +3,13 @@
 import os
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from inkfold.operators.commits import Commit, Conflict, Tables
 from inkfold.operators.writes import new_cards
-from inkfold.sources import settings
+from inkfold.plans import queries as q
+from inkfold.sources import files, settings
 from inkfold.sources.files import FileSink, contained
 from inkfold.streaming.uploads import FILES, receive, upload_batch
 
@@ -135,6 +138,49 @@ def test_file_sink_stream_runs_again_alike(spark, tmp_path):
         assert _files(tmp_path / "out") == sorted(f"{n}.bin" for n in range(9))
 
 
+def test_file_sink_moves_a_new_folder_whole_and_fills_one_that_is_there(tmp_path, monkeypatch):
+    store, root = files.opened(str(tmp_path / "out"))
+    moves = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(store, name)
+
+        def move(self, source, target):
+            moves.append(os.path.relpath(target, root))
+            store.move(source, target)
+
+    monkeypatch.setattr(files, "opened", lambda folder: (Counted(), root))
+    rows = lambda k, names: [Row(name=n, content=b"%d" % k) for n in names]
+    for k in range(2):  # the second time over what is there
+        sink, moves[:] = files._Files(str(tmp_path / "out"), f"a{k}"), []
+        first = sink.write(iter(rows(k, [f"a/b/{n}" for n in range(50)] + ["top"])))
+        second = sink.write(iter(rows(k, ["a/b/50", "a/c/0", "a/c/1"])))
+        assert not moves
+        sink.commit([first, None, second, files.Written("/nowhere", 0)])
+        if not k:
+            assert sorted(moves) == ["a", "a/b/50", "a/c", "top"]
+        assert _files(tmp_path / "out") == sorted([f"a/b/{n}" for n in range(51)] + ["a/c/0", "a/c/1", "top"])
+        assert {(tmp_path / "out" / n).read_bytes() for n in _files(tmp_path / "out")} == {b"%d" % k}
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for k in range(400):
+        (tmp_path / "in" / f"{k}.bin").write_bytes(b"x")
+    read = lambda: spark.read.format("binaryFile").load(str(tmp_path / "in")).rdd.getNumPartitions()
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    with files.small_files(spark):
+        assert read() <= 4
+    assert read() > 8 and spark.conf.get(name) == before
+    tasks, held = [], q._held
+    monkeypatch.setattr(q, "_held", lambda df: tasks.append(df.rdd.getNumPartitions()) or held(df))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert q.QUERIES["file_sink"](spark, str(tmp_path)).count() == 400 and tasks[0] <= 4
+
+
 def _outcomes(tables):
     return sorted((os.path.basename(r.path), r.outcome) for r in tables.read("uploads").collect())
 
