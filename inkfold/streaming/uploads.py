@@ -17,9 +17,10 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 STREAM = "uploads"
 
 
-def arrived(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
-    """Files of a folder and those below it, as they come; Spark leaves out empty ones."""
-    return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).load(folder)
+def arrived(spark: SparkSession, folder: str, files_a_batch: int | None = 1000) -> DataFrame:
+    """Files of a folder and those below it, as they come; Spark leaves out empty ones. None: all that are there as one batch."""
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
+    return (stream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else stream).load(folder)
 
 
 def judged(files: DataFrame, max_bytes: int, structure: bool = False) -> DataFrame:
@@ -33,11 +34,10 @@ def judged(files: DataFrame, max_bytes: int, structure: bool = False) -> DataFra
     return files.select("path", kind.alias("type"), F.when(refused.isNull(), F.sha2("content", 256)).alias("sha256"), refused.alias("refused"))
 
 
-def register(commit: Commit, files: DataFrame, now: str, settings: Mapping[str, object], structure: bool = False) -> None:
-    """Add the batch to cards, card_images, jobs and uploads. The first path of each content that no card holds becomes a card,
-    whose id is made of its content, so that a batch run again gives the same ones. uploads (path, sha256, outcome, card_id)
-    has a row for each file: queued, duplicate (with the card that holds its content), or why it was refused."""
-    seen = judged(files, int(settings["max_upload_mb"]) << 20, structure)
+def register(commit: Commit, seen: DataFrame, now: str) -> None:
+    """Add a batch of judged() files to cards, card_images, jobs and uploads. The first path of each content that no card holds
+    becomes a card, whose id is made of its content, so that a batch run again gives the same ones. uploads (path, sha256,
+    outcome, card_id) has a row for each file: queued, duplicate (with the card that holds its content), or why it was refused."""
     good = seen.where("refused is null")
     images = commit.read("card_images")
     cards = first_per(good, ["sha256"], [F.col("path")]).select("sha256", "path", F.substring("sha256", 1, 32).alias("card_id"), F.lit("horizontal").alias("direction"), F.concat(F.lit("job-"), F.substring("sha256", 1, 28)).alias("job_id"))
@@ -53,19 +53,20 @@ def register(commit: Commit, files: DataFrame, now: str, settings: Mapping[str,
 
 
 def upload_batch(tables: Tables, now: Callable[[], str], settings: Mapping[str, object], stream: str = STREAM, structure: bool = False) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that commits each batch once, however often it is run."""
+    """A foreachBatch function that commits each batch once, however often it is run. Files are read once; what is kept of them
+    are their names and hashes, not their contents."""
 
     def run(files: DataFrame, number: int) -> None:
-        files = files.persist()
+        seen = judged(files, int(settings["max_upload_mb"]) << 20, structure).persist()
         try:
-            tables.transact(lambda commit: register(commit, files, now(), settings, structure), stream, number)
+            tables.transact(lambda commit: register(commit, seen, now()), stream, number)
         finally:
-            files.unpersist()
+            seen.unpersist()
 
     return run
 
 
-def receive(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, now: Callable[[], str], settings: Mapping[str, object], files_a_batch: int = 1000, structure: bool = False) -> StreamingQuery:
-    """Run over what a folder of uploads holds by now."""
+def receive(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, now: Callable[[], str], settings: Mapping[str, object], files_a_batch: int | None = 1000, structure: bool = False) -> StreamingQuery:
+    """Run over what a folder of uploads holds by now. Where that is many files, stay inside small_files() until it ends."""
     files = arrived(spark, folder, files_a_batch)
     return files.writeStream.foreachBatch(upload_batch(tables, now, settings, structure=structure)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

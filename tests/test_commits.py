@@ -11,6 +11,7 @@ from inkfold.operators.writes import new_cards
 from inkfold.plans import queries as q
 from inkfold.sources import files, settings
 from inkfold.sources.files import FileSink, contained
+from inkfold.streaming import uploads
 from inkfold.streaming.uploads import FILES, receive, upload_batch
 
 PNG = bytes.fromhex("89504E470D0A1A0A")
@@ -181,6 +182,16 @@ def test_many_small_files_are_read_in_few_tasks(spark, tmp_path, monkeypatch):
     assert q.QUERIES["file_sink"](spark, str(tmp_path)).count() == 400 and tasks[0] <= 4
 
 
+def test_an_upload_stream_takes_all_files_in_few_tasks_and_keeps_no_contents(spark, tmp_path, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("text"), F.lit("en").alias("lang"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    seen, register = [], uploads.register
+    monkeypatch.setattr(uploads, "register", lambda commit, rows, *more: seen.append((rows.columns, rows.rdd.getNumPartitions())) or register(commit, rows, *more))
+    got = q.QUERIES["stream_uploads"](spark, str(tmp_path)).collect()
+    assert [c for c, _ in seen] == [["path", "type", "sha256", "refused"]] and seen[0][1] <= 4
+    assert sorted(r.name for r in got if r.outcome == "queued") == [f"{n:012d}.png" for n in range(300)] and len(got) == 400
+
+
 def _outcomes(tables):
     return sorted((os.path.basename(r.path), r.outcome) for r in tables.read("uploads").collect())
 
