@@ -1,4 +1,5 @@
-"""A sink for files, which Spark lacks: rows (name, content) become files of a folder, in a batch or a stream.
+"""A sink for files, which Spark lacks: rows (name, content) become files of a folder, in a batch or a stream. And their reading:
+Spark's file source keeps every file's name on the driver, `listed` and `contents` keep names in tables.
 
 A task writes into a folder of its own beside the target and reports it; only a commit of the whole write moves files to their
 names, a folder that the target lacks as a whole. A failed task deletes what it wrote, an aborted write what its tasks left. Names decide the targets, so a write that is
@@ -8,17 +9,21 @@ run again gives the same files. Register the source with `spark.dataSource.regis
 
 from __future__ import annotations
 
+import math
 import posixpath
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, Row, StringType, StructField, StructType
 
 SCHEMA = StructType([StructField("name", StringType()), StructField("content", BinaryType())])
+LISTED = "path string, modificationTime timestamp, length long"
+FILES = f"{LISTED}, content binary"
+FILES_A_TASK, BATCH_BYTES = 8192, 16 << 20
 
 
 def contained(name: str) -> str:
@@ -30,10 +35,12 @@ def contained(name: str) -> str:
 
 
 def opened(folder: str) -> tuple[object, str]:
-    """The file system and path of a folder: a URI of a store that pyarrow reaches (file, hdfs, s3, gs), or a path."""
+    """The file system and path of a folder: a URI of a store that pyarrow reaches (hdfs, s3, gs), or a local one, taken as it is."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{posixpath.abspath(folder) if not folder.startswith('/') else folder}".replace("file:////", "file:///"))
+    if "://" in folder and not folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), posixpath.abspath("/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
 
 
 @dataclass
@@ -63,7 +70,7 @@ class _Files:
                 if (parent := posixpath.dirname(path)) not in made:
                     store.create_dir(parent, recursive=True)
                     made.add(parent)
-                with store.open_output_stream(path) as out:
+                with store.open_output_stream(path, compression=None) as out:  # else a name in .gz would decide what is written
                     out.write(bytes(row.content))
                 n += 1
             return Written(mine, n)
@@ -152,10 +159,75 @@ class FileSink(DataSource):
         return _Stream(self.options["path"])
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme of its file system, as paths of Spark's file source begin."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _shown(name: str) -> bool:
+    """Spark's readers pass over the other names."""
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def listed(spark: SparkSession, folder: str, into: str) -> DataFrame:
+    """(path, modificationTime, length) of the files in a folder and below it, empty ones too, in tables of the new folder `into`.
+    Tasks list the folders, one level after the other; the driver sees no names. One task lists a folder's own entries."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    top, tasks = qualified(spark, folder), spark.sparkContext.defaultParallelism
+    store, root = opened(top)
+    if store.get_file_info(root).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"no folder: {folder}")
+    entry = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("folder", pa.bool_())])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(top)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                found = store.get_file_info(fs.FileSelector(root + path.removeprefix(top), allow_not_found=True))
+                found = [f for f in found if _shown(f.base_name) and (f.is_file or f.type == fs.FileType.Directory)]
+                for k in range(0, len(found), FILES_A_TASK):
+                    some = found[k : k + FILES_A_TASK]
+                    times = [f.mtime_ns and f.mtime_ns // 1000 for f in some]
+                    columns = [[f"{path}/{f.base_name}" for f in some], times, [f.size for f in some], [not f.is_file for f in some]]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, entry.types, strict=True)], schema=entry)
+
+    levels, folders = [], spark.createDataFrame([(top,)], "path string")
+    while not levels or not folders.isEmpty():
+        levels.append(f"{into}/{len(levels)}")
+        folders.repartition(tasks, "path").mapInArrow(entries, f"{LISTED}, folder boolean").write.parquet(levels[-1])
+        folders = spark.read.schema(f"{LISTED}, folder boolean").parquet(levels[-1]).where("folder").select("path")
+    return spark.read.schema(f"{LISTED}, folder boolean").parquet(*levels).where("not folder").drop("folder")
+
+
+def contents(files: DataFrame, folder: str) -> DataFrame:
+    """Rows of listed() of a folder, with the content of each file, read in tasks of some thousands of files."""
+    import pyarrow as pa
+
+    spark = files.sparkSession
+    top, tasks = qualified(spark, folder), max(spark.sparkContext.defaultParallelism, math.ceil(files.count() / FILES_A_TASK))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(top)
+        for batch in batches:
+            begin, held, size = 0, [], 0
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(root + path.removeprefix(top), compression=None) as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= BATCH_BYTES or begin + len(held) == batch.num_rows:
+                    yield batch.slice(begin, len(held)).append_column("content", pa.array(held, pa.binary()))
+                    begin, held, size = begin + len(held), [], 0
+
+    return files.select("path", "modificationTime", "length").repartition(tasks, "path").mapInArrow(read, FILES)
+
+
 @contextmanager
 def small_files(spark: SparkSession) -> Iterator[None]:
-    """For reads and streams of many small files that run inside, to their end: a task reads some thousands of them, not 31, and
-    a few tasks list them, not one for each path."""
+    """For reads and streams of Spark's own file source over many small files that run inside, to their end: a task reads some
+    thousands of them, not 31, and a few tasks list them, not one for each path. The driver holds their names; see listed()."""
     wanted = {"spark.sql.files.openCostInBytes": "64KB", "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64"}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():

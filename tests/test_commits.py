@@ -182,6 +182,43 @@ def test_many_small_files_are_read_in_few_tasks(spark, tmp_path, monkeypatch):
     assert q.QUERIES["file_sink"](spark, str(tmp_path)).count() == 400 and tasks[0] <= 4
 
 
+def test_files_are_listed_and_read_by_tasks_as_spark_reads_them(spark, tmp_path):
+    spark.dataSource.register(FileSink)
+    folder, names = str(tmp_path / "in 1%20#é"), ["a", "b c.png", "deep/x%41.bin", "deep/er/日本.bin", "deep/er/z.gz", "e", "_a=b/c"]
+    rows = spark.createDataFrame([(n, bytes(k)) for k, n in enumerate(names, 1)] + [("empty", b""), ("_no", b"x"), (".no/a", b"x"), ("a._COPYING_", b"x")], files.SCHEMA)
+    rows.repartition(3).write.format("file_sink").mode("append").save(folder)
+    seen = files.listed(spark, folder, f"file://{tmp_path}/listed")
+    got = sorted(map(tuple, files.contents(seen, folder).collect()))
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
+    assert [(p, n, c) for p, _, n, c in got if n] == sorted(map(tuple, want.collect()))
+    assert {p[len(f"file:{folder}/") :]: len(c) for p, _, _, c in got} == {n: k for k, n in enumerate(names, 1)} | {"empty": 0}
+    at = os.stat(f"{folder}/a").st_mtime
+    assert {abs(t.timestamp() - at) < 0.001 for t in [r.modificationTime for r in seen.where("path like '%/a'").collect()]} == {True}
+    with pytest.raises(FileNotFoundError):
+        files.listed(spark, f"{folder}/none", f"file://{tmp_path}/none")
+
+
+def test_contents_are_read_in_bounded_batches_and_tasks(spark, tmp_path, monkeypatch):
+    for k in range(60):
+        (tmp_path / "in" / str(k % 7)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / str(k % 7) / f"{k}.bin").write_bytes(bytes([k]) * k)
+    monkeypatch.setattr(files, "FILES_A_TASK", 5)
+    monkeypatch.setattr(files, "BATCH_BYTES", 40)
+    read = files.contents(files.listed(spark, f"{tmp_path}/in", f"file://{tmp_path}/listed"), f"{tmp_path}/in")
+    assert read.rdd.getNumPartitions() == 12
+    assert sorted(bytes(r.content) for r in read.collect()) == sorted(bytes([k]) * k for k in range(60))
+
+
+def test_file_sink_keeps_file_names_off_the_driver_and_reads_empty_files(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(0, "x", "en"), (1, "", "de"), (2, None, "de"), (3, "y", None)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plans, held = [], q._held
+    monkeypatch.setattr(q, "_held", lambda df: plans.append(df._jdf.queryExecution().toString()) or held(df))
+    got = {r.name: r.length for r in q.QUERIES["file_sink"](spark, str(tmp_path)).collect()}
+    assert got == {f"{n:012d}.png": length for n, length in enumerate((9, 0, 0, 9))}
+    assert "MapInArrow" in plans[0] and "binaryFile" not in plans[0]
+
+
 def test_an_upload_stream_takes_all_files_in_few_tasks_and_keeps_no_contents(spark, tmp_path, monkeypatch):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("text"), F.lit("en").alias("lang"))
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
