@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +12,48 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.commits import Commit, Tables
 from ..operators.lookup import duplicates, first_per
 from ..operators.writes import new_cards
+from ..sources.files import FILES as FILES
+from ..sources.files import LISTED, contents, listed
 from ..sources.images import image_type, inspection
 
-FILES = "path string, modificationTime timestamp, length long, content binary"
 STREAM = "uploads"
 
 
-def arrived(spark: SparkSession, folder: str, files_a_batch: int | None = 1000) -> DataFrame:
-    """Files of a folder and those below it, as they come; Spark leaves out empty ones. None: all that are there as one batch."""
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
-    return (stream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else stream).load(folder)
+def _batches(new: DataFrame, files_a_batch: int, into: str) -> list[DataFrame]:
+    """Rows of a table in batches of so many, the oldest first; tasks number them, the driver adds up a count for each task."""
+    spark, task, place = new.sparkSession, F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    new.orderBy("modificationTime", "path").withColumn("at", F.monotonically_increasing_id()).write.parquet(f"{into}/sorted")
+    ordered, starts, total = spark.read.schema(f"{LISTED}, at long").parquet(f"{into}/sorted"), [], 0
+    for k, n in sorted(ordered.groupBy(task.alias("task")).count().collect()):
+        starts.append((k, total))
+        total += n
+    numbered = ordered.join(F.broadcast(spark.createDataFrame(starts, "task long, start long")), task == F.col("task"))
+    numbered = numbered.withColumn("batch", F.floor((place + F.col("start")) / files_a_batch)).drop("at", "task", "start")
+    numbered.repartition("batch").write.partitionBy("batch").parquet(f"{into}/batches")
+    return [spark.read.schema(LISTED).parquet(f"{into}/batches/batch={k}") for k in range(-(-total // files_a_batch))]
+
+
+def arrived(spark: SparkSession, folder: str, log: str, files_a_batch: int | None = 1000, known: DataFrame | None = None) -> DataFrame:
+    """A stream of the names (path, modificationTime, length) of files of a folder and those below it, but empty ones: those that
+    are there by now, and neither in `known` (path) nor in the folder `log`, are added to that, and the stream reads it. So it
+    holds each path once, and names are in tables, where Spark's file source keeps them on the driver. A batch has at most
+    files_a_batch files, the oldest first. None: all that are there as one batch."""
+    run, found = f"{log}/run-{uuid.uuid4().hex}", f"{log}/found"
+    at = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at(log).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at(found))
+    new = listed(spark, folder, f"{run}/listed").where("length > 0")
+    for seen in (spark.read.schema(LISTED).option("recursiveFileLookup", "true").parquet(found), known):
+        new = new if seen is None else new.join(seen.select("path"), "path", "left_anti")
+    new.select("path", "modificationTime", "length").write.parquet(f"{run}/new")
+    new = spark.read.schema(LISTED).parquet(f"{run}/new")
+    total = new.count()
+    batches = _batches(new, files_a_batch, run) if files_a_batch and total > files_a_batch else [new] if total else []
+    for batch in batches:  # each in a new folder, as a write that crashed may leave files in its own; one file each where sizes are given
+        (batch.coalesce(1) if files_a_batch else batch).write.parquet(f"{found}/{uuid.uuid4().hex}")
+    store.delete(at(run), True)
+    stream = spark.readStream.schema(LISTED).option("recursiveFileLookup", "true")
+    return (stream.option("maxFilesPerTrigger", 1) if files_a_batch else stream).parquet(found)
 
 
 def judged(files: DataFrame, max_bytes: int, structure: bool = False) -> DataFrame:
@@ -67,6 +100,8 @@ def upload_batch(tables: Tables, now: Callable[[], str], settings: Mapping[str,
 
 
 def receive(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, now: Callable[[], str], settings: Mapping[str, object], files_a_batch: int | None = 1000, structure: bool = False) -> StreamingQuery:
-    """Run over what a folder of uploads holds by now. Where that is many files, stay inside small_files() until it ends."""
-    files = arrived(spark, folder, files_a_batch)
-    return files.writeStream.foreachBatch(upload_batch(tables, now, settings, structure=structure)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run over what a folder of uploads holds by now. Names of files that a run has met are in `arrivals` of the checkpoint."""
+    names = arrived(spark, folder, f"{checkpoint}/arrivals", files_a_batch, tables.read("uploads"))
+    commit = upload_batch(tables, now, settings, structure=structure)
+    run = lambda files, number: commit(contents(files, folder), number)
+    return names.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -252,6 +252,56 @@ def test_uploads_once_within_and_across_batches_and_restarts(spark, tmp_path):
     assert {r.id for r in cards} == {by_name[n] for n in ("a.png", "c.png", "h.jpg")} == {r.card_id for r in jobs}
 
 
+def test_an_upload_stream_keeps_names_in_tables_and_not_in_the_log_of_its_source(spark, tmp_path):
+    tables, folder, log = Tables(spark, f"file://{tmp_path}/t"), tmp_path / "in dir", tmp_path / "c"
+    for k in range(30):
+        (folder / str(k % 4)).mkdir(parents=True, exist_ok=True)
+        (folder / str(k % 4) / f"{k} %41.png").write_bytes(PNG + bytes([k // 2]))
+    receive(spark, str(folder), tables, f"file://{log}", lambda: "t", settings.load({}), files_a_batch=None).awaitTermination()
+    assert [o for _, o in _outcomes(tables)].count("queued") == 15 and tables.version() == 1
+    assert {r.path for r in tables.read("uploads").collect()} == {f"file:{folder}/{k % 4}/{k} %41.png" for k in range(30)}
+    logs = [(d, f) for d, _, names in os.walk(log / "sources") for f in names if not f.endswith(".crc")]
+    assert logs and not any(".png" in open(os.path.join(d, f)).read() for d, f in logs)
+    assert os.listdir(log / "arrivals") == ["found"]
+
+
+def test_upload_batches_are_of_the_size_given_and_take_the_oldest_first(spark, tmp_path, monkeypatch):
+    tables, folder, sizes = Tables(spark, f"file://{tmp_path}/t"), tmp_path / "in", []
+    folder.mkdir()
+    for k in range(11):  # the names' order is not that of their times
+        (folder / f"{k * 7 % 11:02d}.png").write_bytes(PNG + b"same")
+        os.utime(folder / f"{k * 7 % 11:02d}.png", (10**9 + k, 10**9 + k))
+    register = uploads.register
+    monkeypatch.setattr(uploads, "register", lambda commit, seen, now: sizes.append(sorted(r.path[-6:-4] for r in seen.collect())) or register(commit, seen, now))
+    go = lambda n: receive(spark, str(folder), tables, f"file://{tmp_path}/c", lambda: "t", settings.load({}), files_a_batch=n).awaitTermination()
+    go(4)
+    order = [f"{k * 7 % 11:02d}" for k in range(11)]
+    assert sizes == [sorted(order[:4]), sorted(order[4:8]), sorted(order[8:])]
+    assert [r.path[-6:-4] for r in tables.read("uploads").where("outcome = 'queued'").collect()] == [min(order[:4])]
+    go(4)
+    (folder / "new.png").write_bytes(PNG + b"new")
+    go(4)
+    assert sizes[3:] == [["ew"]] and tables.read("uploads").count() == 12
+
+
+def test_uploads_met_by_a_run_that_crashed_are_taken_once(spark, tmp_path):
+    tables, folder = Tables(spark, f"file://{tmp_path}/t"), tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.png").write_bytes(PNG + b"1")
+
+    def go(fail=False, log="c"):
+        receive(spark, str(folder), tables, f"file://{tmp_path}/{log}", lambda: 1 / 0 if fail else "t", settings.load({}), files_a_batch=None).awaitTermination()
+
+    with pytest.raises(Exception, match="division"):
+        go(fail=True)
+    (folder / "b.png").write_bytes(PNG + b"1")
+    go()
+    assert _outcomes(tables) == [("a.png", "queued"), ("b.png", "duplicate")]
+    (folder / "c.png").write_bytes(PNG + b"1")
+    go(log="of_a_version_without_arrivals")  # what uploads holds is not new
+    assert [r.path[-5:] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/of_a_version_without_arrivals/arrivals/found").collect()] == ["c.png"]
+
+
 def test_an_upload_batch_that_is_run_again_changes_nothing(spark, tmp_path):
     tables = Tables(spark, f"file://{tmp_path}/t")
     batch = spark.createDataFrame([("x/a.png", None, 9, bytearray(PNG + b"1"))], FILES)
